@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rendezvous
+from . import chat, rendezvous, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(_read(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+d AS (SELECT page_id, n, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS origin FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < origin THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < origin THEN origin END AS refers_to
+FROM d
+"""
+
+
 def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -23,5 +37,5 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(extra))
 
 
-QUERIES = {"op3_rendezvous": op3_rendezvous, "op8_chat_windows": op8_chat_windows}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op3_rendezvous": op3_rendezvous, "op8_chat_windows": op8_chat_windows}
+ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL}
