@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rendezvous, warc
+from . import chat, rendezvous, token_orc, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ FROM d
 """
 
 
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_digest(_read(spark, sf_dir, "documents"))
+
+
 def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(extra))
 
 
-QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op3_rendezvous": op3_rendezvous, "op8_chat_windows": op8_chat_windows}
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op8_chat_windows": op8_chat_windows}
 ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL}
