@@ -333,7 +333,7 @@ class WarcArchive:
     def records(self) -> DataFrame:
         """Every record as read back from the archives, one archive at a time, digests checked."""
         archives = self.manifest.select("archive_no", "archive").distinct()
-        return archives.mapInArrow(_reader, RECORD)
+        return archives.repartition(max(1, archives.count())).mapInArrow(_reader, RECORD)
 
 
 def warc_digest(pages: DataFrame, **options) -> DataFrame:
@@ -347,5 +347,5 @@ def warc_digest(pages: DataFrame, **options) -> DataFrame:
     """
     archive = WarcArchive(pages, **options)
     index = archive.histories().select("archive_no", "offset")
-    out = index.join(archive.records(), ["archive_no", "offset"])
+    out = index.join(archive.records().hint("merge"), ["archive_no", "offset"])
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
