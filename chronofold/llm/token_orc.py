@@ -7,7 +7,6 @@ readers split files at stripes and skip stripes and row groups by metadata.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -18,13 +17,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import Workspace
+from .textops import base_powers, mix, utf8_parts
 from .workers import process_cache
 
 STORED = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
-#: A space that does not stand alone before a non-space.
-ODD_SPACE = re.compile(r" \s")
+REMEMBERED = 700_000
+_RNG = np.random.default_rng(7)
+_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _odd_spaces(raw: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Spaces (byte positions ``at``; ``last``: last byte of the text) that end the text or precede white space."""
+    n = len(raw)
+    b1, b2, b3 = (np.where(at + k <= last, raw[np.minimum(at + k, n - 1)], 32) for k in (1, 2, 3))
+    odd = ((b1 >= 9) & (b1 <= 13)) | ((b1 >= 28) & (b1 <= 32))
+    odd |= (b1 == 0xC2) & ((b2 == 0x85) | (b2 == 0xA0))
+    odd |= (b1 == 0xE1) & (b2 == 0x9A) & (b3 == 0x80)
+    odd |= (b1 == 0xE2) & (((b2 == 0x80) & ((b3 <= 0x8A) | (b3 == 0xA8) | (b3 == 0xA9) | (b3 == 0xAF))) | ((b2 == 0x81) & (b3 == 0x9F)))
+    return odd | ((b1 == 0xE3) & (b2 == 0x80) & (b3 == 0x80))
+
+
+def spans_of(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions begin[0], begin[0]+1, ... of all spans one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class PieceEncoder:
@@ -32,12 +49,14 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer always starts a new word at a space that
     stands alone before a non-space, so the ids of a text are the ids of its
-    pieces cut there.  Texts with other spaces are encoded whole.  New pieces
-    are encoded joined, some thousands at a time; the byte lengths of the
-    vocabulary's entries tell where each piece ends.
+    pieces cut there; texts with other spaces are encoded whole.  Pieces are
+    known by a 64-bit hash of their bytes in an open-addressing table.  New
+    pieces are encoded joined, some thousands at a time; the byte lengths of
+    the vocabulary's entries tell where each piece ends.
     """
 
     JOINED = 3000
+    SLOTS = 1 << 21
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,66 +71,106 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        self.known = 0
+        self.keys = np.zeros(self.SLOTS, np.uint64)
+        self.values = np.full(self.SLOTS, -1, np.int32)
         self.flat = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        known = len(self.number)
-        begin = int(self.starts[known])
-        while known + len(pieces) >= len(self.starts):
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces, -1 where unknown."""
+        out = np.full(len(hashes), -1, np.int32)
+        left, slot = np.arange(len(hashes)), (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            value, key = self.values[slot], self.keys[slot]
+            hit = (value >= 0) & (key == hashes[left])
+            out[left[hit]] = value[hit]
+            on = (value >= 0) & ~hit
+            left, slot = left[on], (slot[on] + 1) & (self.SLOTS - 1)
+        return out
+
+    def _insert(self, hashes: np.ndarray) -> None:
+        """New distinct pieces, numbered on from those known."""
+        left, slot = np.arange(len(hashes)), (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = self.values[slot] < 0
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot, return_index=True)[1]] = True  # one newcomer a slot
+            put = free & first
+            self.keys[slot[put]] = hashes[left[put]]
+            self.values[slot[put]] = self.known + left[put]
+            left, slot = left[~put], np.where(free & ~first, slot, (slot + 1) & (self.SLOTS - 1))[~put]
+        self.known += len(hashes)
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        spaced = raw[begin] == 32
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        hashes, begin, length = hashes[order], begin[order], length[order]
+        n_spaced = int(spaced.sum())
+        groups = [(i, min(i + self.JOINED, n_spaced)) for i in range(0, n_spaced, self.JOINED)] + [(i, i + 1) for i in range(n_spaced, len(begin))]
+        texts = [raw[spans_of(begin[a:b], length[a:b])].tobytes().decode() for a, b in groups]
+        found = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        done, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(length)
+        at = np.searchsorted(done, ends)
+        if not np.array_equal(done[np.minimum(at, len(done) - 1)], ends):
+            raise ValueError("the tokenizer does not cut at single spaces")
+        used = int(self.starts[self.known])
+        while self.known + len(begin) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while begin + len(ids) > len(self.flat):
+        while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[begin : begin + len(ids)] = ids
-        self.starts[known + 1 : known + 1 + len(pieces)] = begin + ends
-        self.number.update(zip(pieces, range(known, known + len(pieces)), strict=True))
-
-    def _learn(self, fresh: list[str]) -> None:
-        alone = [p for p in fresh if p[0] != " "]
-        for piece, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self._keep([piece], np.asarray(e.ids, np.int32), np.array([len(e.ids)]))
-        spaced = [p for p in fresh if p[0] == " "]
-        groups = [spaced[i : i + self.JOINED] for i in range(0, len(spaced), self.JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, np.int32)
-            ends = np.cumsum([len(p.encode()) for p in group])
-            done = np.cumsum(self.bytes_of[ids])
-            at = np.searchsorted(done, ends)
-            if not np.array_equal(done[at], ends):
-                raise ValueError("the tokenizer does not cut at single spaces")
-            self._keep(group, ids, at + 1)
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text."""
-        if len(self.number) > REMEMBERED:
+        self.flat[used : used + len(ids)] = ids
+        self.starts[self.known + 1 : self.known + 1 + len(begin)] = used + at + 1
+        self._insert(hashes)
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text (bytes starts[i] to ends[i] of ``raw``)."""
+        if self.known > REMEMBERED:
             self.clear()
-        cut, whole = [], {}
-        for i, text in enumerate(texts):
-            if text.endswith(" ") or "\0" in text or ODD_SPACE.search(text):
-                whole[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                cut.append([""])
-            else:
-                cut.append(text.replace(" ", "\0 ").split("\0"))
-        number = self.number
-        pieces = [p for c in cut for p in c]
-        if fresh := set(pieces).difference(number):
-            self._learn(sorted(fresh))
-        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        begin, n = self.starts[at] if len(at) else at, self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(n)
-        flat = self.flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum([len(c) for c in cut]) - 1
-        counts = np.diff(ends[last], prepend=0) if len(cut) else np.zeros(0, np.int64)
-        if whole:
+        low, high = (int(starts.min()), int(ends.max())) if len(starts) else (0, 0)
+        raw, starts, ends = raw[low:high], starts - low, ends - low
+        counts, filled = np.zeros(len(starts), np.int64), np.flatnonzero(ends > starts)
+        if not len(filled):
+            return np.zeros(0, np.int32), counts
+        space = raw == 32
+        edge = space.copy()
+        edge[starts[filled]] = True
+        begin = np.flatnonzero(edge)
+        owner = np.searchsorted(starts[filled], begin, "right") - 1
+        last = ends[filled][owner]
+        inside = begin < last  # bytes between texts (under nulls) belong to none
+        begin, owner, last = begin[inside], owner[inside], last[inside]
+        stop = np.minimum(np.append(begin[1:], len(raw)), last)
+        at = np.flatnonzero(raw[begin] == 32)
+        odd = np.unique(owner[at[_odd_spaces(raw, begin[at], last[at] - 1)]])
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[raw] * base_powers(len(raw)), out=total[1:])
+        hashes = mix(((total[stop] - total[begin]) * base_powers(len(raw), inverse=True)[begin]) ^ ((stop - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        if len(odd):
+            plain = ~np.isin(owner, odd)
+            begin, stop, owner, hashes = begin[plain], stop[plain], owner[plain], hashes[plain]
+        number = self._find(hashes)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+            for i in range(0, len(fresh), REMEMBERED):
+                self._learn(raw, hashes[f := fresh[i : i + REMEMBERED]], begin[f], stop[f] - begin[f])
+            number = self._find(hashes)
+        n = self.starts[number + 1] - self.starts[number]
+        flat = self.flat[spans_of(self.starts[number], n)]
+        counts[filled] = np.bincount(owner, n, len(filled)).astype(np.int64)
+        if len(odd):
             parts = np.split(flat, np.cumsum(counts)[:-1])
-            for i, ids in whole.items():
-                parts[i], counts[i] = ids, len(ids)
+            for i in filled[odd]:
+                parts[i] = np.asarray(self.tokenizer.encode(raw[starts[i] : ends[i]].tobytes().decode(), add_special_tokens=False).ids, np.int32)
+                counts[i] = len(parts[i])
             flat = np.concatenate(parts)
         return flat, counts
 
 
-def _encode(path: str | None, end_id: int, batch_chars: int = 4_000_000):
+def _encode(path: str | None, end_id: int, batch_bytes: int = 2_000_000):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -127,32 +186,24 @@ def _encode(path: str | None, end_id: int, batch_chars: int = 4_000_000):
         if file not in cache:
             cache[file] = PieceEncoder(file)
         encoder, part, at = cache[file], TaskContext.get().partitionId(), 0
-
-        def pack(ids: list, texts: list) -> pa.RecordBatch:
-            nonlocal at
-            found, counts = encoder.encode(texts)
-            ends = np.cumsum(counts + 1)
-            flat = np.full(int(ends[-1]), end_id, np.int32)
-            inner = np.ones(len(flat), bool)
-            inner[ends - 1] = False
-            flat[inner] = found
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-            starts = at + ends - counts - 1
-            at += int(ends[-1])
-            cols = [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array((counts + 1).astype(np.int32)), lists]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "local_start", "n_tokens", "ids"])
-
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(i)
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size >= batch_chars:
-                    yield pack(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield pack(ids, texts)
+            raw, starts, ends = utf8_parts(batch.column("text"))
+            i = 0
+            while i < len(starts):
+                j = i + 1
+                while j < len(starts) and ends[j] - starts[i] <= batch_bytes:
+                    j += 1
+                found, counts = encoder.encode(raw, starts[i:j], ends[i:j])
+                stop = np.cumsum(counts + 1)
+                flat = np.full(int(stop[-1]), end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[stop - 1] = False
+                flat[inner] = found
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(flat))
+                cols = [batch.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(at + stop - counts - 1), pa.array((counts + 1).astype(np.int32)), lists]
+                at += int(stop[-1])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "part", "local_start", "n_tokens", "ids"])
+                i = j
 
     return encode
 
