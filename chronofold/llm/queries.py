@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rendezvous, token_orc, warc
+from . import chat, jaccard_join, rendezvous, token_orc, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,28 @@ def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, array_agg(g ORDER BY g) AS gs FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS rep FROM k),
+r AS (SELECT s.doc_id, s.g FROM s JOIN (SELECT DISTINCT rep FROM c) q ON s.doc_id = q.rep),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+t(x, y) AS (SELECT DISTINCT rep, rep FROM c UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x),
+m AS (SELECT x, min(y) AS component_id FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x = c.rep
+"""
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -41,5 +63,5 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(extra))
 
 
-QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op8_chat_windows": op8_chat_windows}
-ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL}
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op8_chat_windows": op8_chat_windows}
+ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL, "op4_signature_tree_join": OP4_SQL}
