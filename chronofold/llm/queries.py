@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, rendezvous, token_orc, warc
+from . import chat, jaccard_join, langid, rendezvous, token_orc, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,5 +63,9 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(extra))
 
 
-QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op8_chat_windows": op8_chat_windows}
+def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op8_chat_windows": op8_chat_windows, "op9_cross_parsing": op9_cross_parsing}
 ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL, "op4_signature_tree_join": OP4_SQL}
