@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, langid, mtree, rendezvous, token_orc, warc
+from . import chat, decontaminate, hmm, jaccard_join, langid, mtree, rendezvous, token_orc, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,5 +84,9 @@ def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op6_qgram_leaks": op6_qgram_leaks, "op7_mtree_top_k": op7_mtree_top_k, "op8_chat_windows": op8_chat_windows, "op9_cross_parsing": op9_cross_parsing}
+def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op6_qgram_leaks": op6_qgram_leaks, "op7_mtree_top_k": op7_mtree_top_k, "op8_chat_windows": op8_chat_windows, "op9_cross_parsing": op9_cross_parsing, "op10_hidden_markov": op10_hidden_markov}
 ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL, "op4_signature_tree_join": OP4_SQL, "op7_mtree_top_k": OP7_SQL}
