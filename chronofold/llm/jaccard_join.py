@@ -8,10 +8,12 @@
 3. Within a group, signature trees of the sets' bitmaps and sizes are traversed
    in pairs (:mod:`signature_tree`); what the bound leaves is verified on the
    full sets.
-4. A first round looks at the leading shingles only and proposes one partner
-   per class; the second looks at all prefixes and proposes every pair whose
-   two sides are not linked yet.  So large groups of near copies are never
-   expanded into all pairs, and no link between components is lost.
+4. A first round looks at the few shingles of least hash only, where near
+   copies mostly meet, and proposes two partners per class (the most similar
+   by bitmaps, and the first); the second looks at all prefixes and proposes
+   every pair whose two sides are not linked yet.  So large groups of near
+   copies are never expanded into all pairs, and no link between components is
+   lost.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .textops import U64, mix, shingle_sets, utf8_parts, words
 
 #: Shingles counted as common, at most; the order of these goes by their counts.  Only cost depends on it.
 COMMON = 200_000
-#: Leading shingles of the first round; sets a signature tree holds at most; entries of one exchange partition.
-LEADING, CELL, BUCKET = 4, 2048, 2_000_000
+#: Shingles of least hash of the first round; sets a signature tree holds at most; entries of one exchange partition.
+LEADING, CELL, BUCKET = 6, 2048, 2_000_000
 #: Entries of a shingle above which its group is found by partial aggregation instead of in one task.
 LARGE = 100_000
 #: Documents to verify up to which their ids are broadcast; more are joined by a shuffle.
@@ -79,7 +81,7 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(common, percent: int):
-    """Per class first seen by the task: class, n, its prefix in the global order, its bitmap."""
+    """Per class first seen by the task: class, n, its shingles of least hash, its prefix in the global order, its bitmap."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank = common.value
@@ -119,7 +121,10 @@ def _prefixes(common, percent: int):
             prefix = keys[order[np.repeat(starts - begin, take) + np.arange(int(take.sum()))]].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(prefix))
             maps = [bitmap(keys[a:b]) for a, b in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sizes), lists, pa.array(maps, pa.binary())], names=["class", "n", "prefix", "map"])
+            few = np.minimum(sizes, LEADING)
+            lead = keys[np.repeat(starts - (np.cumsum(few) - few), few) + np.arange(int(few.sum()))].view(np.int64)
+            leads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(lead))
+            yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(sizes), leads, lists, pa.array(maps, pa.binary())], names=["class", "n", "lead", "prefix", "map"])
 
     return rows
 
@@ -182,42 +187,52 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _propose(percent: int, spanning: bool):
     """Candidate pairs of each cell by dual traversal; rows come sorted by (token, i, j)."""
 
-    def cell(rows: list) -> tuple[list[int], list[int]]:
+    def cell(rows: list) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array([r[0] for r in rows])
         sizes = np.array([r[1] for r in rows], np.int64)
         groups = np.array([r[3] for r in rows])
         side = np.array([r[4] for r in rows])
-        i, j = candidate_pairs(sizes, [r[2] for r in rows], groups, side, percent)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        if spanning and len(a):
-            order = np.lexsort((a, b))
-            a, b = a[order], b[order]
-            first = np.ones(len(b), bool)
-            first[1:] = b[1:] != b[:-1]
-            a, b = a[first], b[first]
-        return a.tolist(), b.tolist()
+        i, j, likeness = candidate_pairs(sizes, [r[2] for r in rows], groups, side, percent)
+        if spanning and len(i):
+            who, other, score = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([likeness, likeness])
+            picked = []
+            for order in (np.lexsort((other, -score, who)), np.lexsort((ids[other], who))):
+                first = np.ones(len(order), bool)
+                first[1:] = who[order][1:] != who[order][:-1]
+                picked.append(order[first])
+            picked = np.concatenate(picked)
+            i, j = who[picked], other[picked]
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out_a, out_b = None, [], [], []
+        key, held, out = None, [], []
+        given: set[tuple[int, int]] = set()  # pairs of the task, as near copies meet in many groups
         names = ("token", "i", "j", "class", "n", "map", "comp", "side")
+
+        def settle() -> None:
+            if len(held) > 1:
+                if len(given) > 500_000:
+                    given.clear()
+                for pair in zip(*(x.tolist() for x in cell(held)), strict=True):
+                    if pair not in given:
+                        given.add(pair)
+                        out.append(pair)
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
         for batch in batches:
             for token, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (token, i, j) != key:
-                    if len(held) > 1:
-                        a, b = cell(held)
-                        out_a += a
-                        out_b += b
-                        if len(out_a) > 50_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                            out_a, out_b = [], []
+                    settle()
+                    if len(out) > 50_000:
+                        yield packed()
+                        out = []
                     key, held = (token, i, j), []
                 held.append(rest)
-        if len(held) > 1:
-            a, b = cell(held)
-            out_a += a
-            out_b += b
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        settle()
+        if out:
+            yield packed()
 
     return rows
 
@@ -278,7 +293,7 @@ class JaccardJoin:
         rank[::-1] = np.arange(len(tokens))  # the most frequent last
         shared = self.spark.sparkContext.broadcast((tokens[order], rank[order]))
         self.large = self.spark.sparkContext.broadcast(common.token[common.n > LARGE].to_numpy(np.int64))
-        self.prefixes = self.work.table(self.docs.mapInArrow(_prefixes(shared, percent), "class long, n long, prefix array<long>, map binary"), "prefixes")
+        self.prefixes = self.work.table(self.docs.mapInArrow(_prefixes(shared, percent), "class long, n long, lead array<long>, prefix array<long>, map binary"), "prefixes")
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -320,7 +335,7 @@ class JaccardJoin:
         return members.join(self.roots.select(F.col("node").alias("class"), "root"), "class", "left").select("token", "class", F.coalesce("root", "class").alias("comp"))
 
     def run(self) -> JaccardJoin:
-        lead = self.prefixes.select(F.explode(F.slice("prefix", 1, LEADING)).alias("token"), "class").distinct()
+        lead = self.prefixes.select(F.explode("lead").alias("token"), "class").distinct()
         pairs = self._pairs(self._with_component(self.work.table(lead, "lead")), True, "pairs1")
         self.links = self._verified(pairs, "links1")
         self.roots = connected(self.links, self.work, "cc1")
@@ -361,3 +376,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     Other columns are not read.  An empty table gives an empty result.
     """
     return JaccardJoin(docs, percent).run().components()
+
+
+def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One document of each component of ``docs``, that of the smallest doc_id, all columns as they are.
+
+    Documents without words stay, each by itself.  Of rows that repeat both
+    doc_id and text one stays.
+    """
+    found = jaccard_components(docs, percent)
+    work = Workspace(docs.sparkSession, "representatives")
+    found = work.table(found, "found")
+    gone = work.table(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    repeated = not found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(small, docs["doc_id"].cast("long").eqNullSafe(small["gone"]), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hmm, jaccard_join, langid, mtree, rendezvous, token_orc, warc
+from . import chat, decontaminate, hmm, jaccard_join, langid, mixing, mtree, rendezvous, token_orc, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(rows.unionByName(extra))
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_plan(_read(spark, sf_dir, "documents"))
+
+
 def op6_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -88,5 +92,5 @@ def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op6_qgram_leaks": op6_qgram_leaks, "op7_mtree_top_k": op7_mtree_top_k, "op8_chat_windows": op8_chat_windows, "op9_cross_parsing": op9_cross_parsing, "op10_hidden_markov": op10_hidden_markov}
+QUERIES = {"op1_warc_index_merge": op1_warc_index_merge, "op2_token_orc": op2_token_orc, "op3_rendezvous": op3_rendezvous, "op4_signature_tree_join": op4_signature_tree_join, "op5_temperature_mixing": op5_temperature_mixing, "op6_qgram_leaks": op6_qgram_leaks, "op7_mtree_top_k": op7_mtree_top_k, "op8_chat_windows": op8_chat_windows, "op9_cross_parsing": op9_cross_parsing, "op10_hidden_markov": op10_hidden_markov}
 ORACLE: dict[str, str] = {"op1_warc_index_merge": OP1_SQL, "op4_signature_tree_join": OP4_SQL, "op7_mtree_top_k": OP7_SQL}

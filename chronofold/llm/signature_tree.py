@@ -107,8 +107,15 @@ def dual_traversal(x: Tree, y: Tree, percent: int, same: bool, chunk_bytes: int
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets of different groups that may link.
+def likeness(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    mx, sx, _, lx, _, _ = (t[i] for t in x.levels[0])
+    my, sy, _, ly, _, _ = (t[j] for t in y.levels[0])
+    share = np.minimum(np.bitwise_count(mx & my).sum(1).astype(np.int64) + np.minimum(lx, ly), np.minimum(sx, sy))
+    return share / (sx + sy - share)
+
+
+def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of sets of different groups that may link, and the largest Jaccard similarity their bitmaps allow.
 
     ``side`` 0 and 1 asks for pairs across the two sides only; all 0 for pairs
     within.  Sets are split by bitmap width; linked sizes differ by at most a
@@ -122,7 +129,7 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, si
             at = order[(widths[order] == w) & (side[order] == s)]
             if len(at):
                 classes[(int(w), int(s))] = at
-    out_i, out_j = [], []
+    out_i, out_j, out_s = [], [], []
 
     def tree(at: np.ndarray, width: int) -> Tree:
         stacked = np.frombuffer(b"".join(maps[k] for k in at), np.uint8).reshape(len(at), -1)
@@ -135,11 +142,14 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, si
             if w2 not in (w1, 2 * w1) or (two and s1 == s2) or (not two and s1 != s2) or (two and w1 == w2 and s1 > s2):
                 continue
             x = tree(a, w1)
-            i, j = dual_traversal(x, x if same else tree(b, w1), percent, same)
+            y = x if same else tree(b, w1)
+            i, j = dual_traversal(x, y, percent, same)
+            for k in range(0, len(i), 1 << 16):
+                out_s.append(likeness(x, y, i[k : k + (1 << 16)], j[k : k + (1 << 16)]))
             out_i.append(a[i])
             out_j.append(b[j])
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    if not out_s:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, s = np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_s)
     differ = groups[i] != groups[j]
-    return i[differ], j[differ]
+    return i[differ], j[differ], s[differ]
