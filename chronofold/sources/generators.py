@@ -91,16 +91,17 @@ def theory_sbm(spark: SparkSession, n: int = 300, steps: int = 20, communities:
     if noise not in ("iid", "heteroskedastic_entry", "heteroskedastic_node"):
         raise ValueError("noise is iid, heteroskedastic_entry or heteroskedastic_node")
     cells, labels = _sbm_cells(spark, n, steps, communities, p_in, p_out, 0.0, seed)
-    std = F.lit(sigma)
-    if noise == "heteroskedastic_entry":
-        std = std * F.when(uniform(seed + 3, "u", "v") < hetero_fraction, hetero_multiplier).otherwise(1.0)
-    if noise == "heteroskedastic_node":
-        for side in ("u", "v"):
-            std = std * F.when(uniform(seed + 3, side) < hetero_fraction, hetero_multiplier).otherwise(1.0)
-    e = std * normal(seed + 4, "t", "u", "v")
-    if not directed:  # the average with the transpose
-        flipped = F.lit(sigma) * normal(seed + 4, "t", "v", "u") if noise == "iid" else std * normal(seed + 4, "t", "v", "u")
-        e = (e + flipped) / 2
+
+    def error(u: str, v: str) -> Column:
+        large = F.lit(1.0)
+        if noise == "heteroskedastic_entry":
+            large = F.when(uniform(seed + 3, u, v) < hetero_fraction, hetero_multiplier).otherwise(1.0)
+        if noise == "heteroskedastic_node":
+            for side in (u, v):
+                large = large * F.when(uniform(seed + 3, side) < hetero_fraction, hetero_multiplier).otherwise(1.0)
+        return sigma * large * normal(seed + 4, "t", u, v)
+
+    e = error("u", "v") if directed else (error("u", "v") + error("v", "u")) / 2  # the average with the transpose
     return _graph(spark, f"theory_{noise}", cells.withColumn("w", F.when(F.col("u") == F.col("v"), 0.0).otherwise(F.col("p") + e)), n, steps, labels)
 
 
