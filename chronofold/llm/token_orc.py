@@ -22,7 +22,7 @@ from .workers import process_cache
 
 STORED = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,7 +56,7 @@ class PieceEncoder:
     """
 
     JOINED = 3000
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -170,7 +170,7 @@ class PieceEncoder:
         return flat, counts
 
 
-def _encode(path: str | None, end_id: int, batch_bytes: int = 2_000_000):
+def _encode(path: str | None, end_id: int, batch_bytes: int = 1_000_000):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
