@@ -317,8 +317,8 @@ def _longs(spark, values: dict[str, float], digits: int = 6) -> DataFrame:
 SIZES = "k AS (SELECT count(*)::DOUBLE AS nnz FROM res), e AS (SELECT count(*)::DOUBLE AS edges FROM edges)"
 
 
-@query(_with(TRADE, GRID, BLOCK, SIZES) + """SELECT (n + n + steps + 1) * 25 * 8.0 AS factor_bytes, (n + n + steps + 1) * 25 * 4.0 AS float32_factor_bytes, 20 * nnz AS coo_bytes, 12 * nnz + 4 * (n + 1) * steps AS csr_bytes,
-  steps * n * n * 8.0 AS raw_dense_bytes, 12 * edges + 4 * (n + 1) * steps AS raw_sparse_bytes FROM dims, k, e""")
+@query(_with(TRADE, GRID, BLOCK, SIZES) + """SELECT ((n + n + steps + 1) * 25 * 8)::DOUBLE AS factor_bytes, ((n + n + steps + 1) * 25 * 4)::DOUBLE AS float32_factor_bytes, 20 * nnz AS coo_bytes, 12 * nnz + 4 * (n + 1) * steps AS csr_bytes,
+  (steps * n * n * 8)::DOUBLE AS raw_dense_bytes, 12 * edges + 4 * (n + 1) * steps AS raw_sparse_bytes FROM dims, k, e""")
 def storage_bytes(spark, sf_dir):
     g, s = demo.block_store(spark, sf_dir)
     nnz = s.residual_nnz()
