@@ -154,8 +154,7 @@ def _normalised(graph: TemporalGraph, left: np.ndarray, right: np.ndarray, tempo
 
 
 def _unfolding_factors(tensor: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    left = np.linalg.svd(K.unfold(tensor, 1), full_matrices=False)[0][:, :rank]
-    right = np.linalg.svd(K.unfold(tensor, 2), full_matrices=False)[0][:, :rank]
+    left, right = K.leading_rows(tensor, rank), K.leading_rows(tensor, rank, targets=True)
     return left, right, K.project(tensor, left, right)
 
 
@@ -199,7 +198,7 @@ def nmf(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
 
 def tensor_basis(tensor: np.ndarray, rank: int) -> np.ndarray:
     """Rank-limited mean snapshot along the source unfolding: sum_j c_j u_j v_j', v_j from the mean snapshot."""
-    u = np.linalg.svd(K.unfold(tensor, 1), full_matrices=False)[0][:, :rank]
+    u = K.leading_rows(tensor, rank)
     mean = tensor.mean(0)
     v = mean.T @ u
     norms = np.linalg.norm(v, axis=0)
@@ -240,7 +239,7 @@ def robust_asym(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
             left, values, right = left[:, keep], values[keep], right[:, keep]
         scale = np.where(np.abs(values) > 1e-12, values, 1.0)
         temporal = K.project(clean, left, right) / scale
-        low = np.einsum("uj,tj,vj->tuv", left, temporal * values, right, optimize=True)
+        low = np.stack([(left * w) @ right.T for w in temporal * values])
         error = tensor - low
         threshold = dense_threshold(np.abs(error), config)
         sparse = np.where(np.abs(error) >= threshold, error, 0.0)

@@ -26,8 +26,8 @@ def to_array(matrix: DataFrame, n: int, m: int) -> np.ndarray:
     if n * m > DRIVER_CELLS:
         raise MemoryError(f"{n} x {m} cells are too many for the driver")
     out = np.zeros((n, m))
-    found = matrix.select("u", "v", "w").toPandas()
-    np.add.at(out, (found.u.to_numpy(int), found.v.to_numpy(int)), found.w.to_numpy(float))
+    found = matrix.select("u", "v", "w").toArrow()
+    np.add.at(out, (found["u"].to_numpy(), found["v"].to_numpy()), found["w"].to_numpy())
     return out
 
 
@@ -35,8 +35,8 @@ def to_tensor(edges: DataFrame, steps: int, n: int, m: int) -> np.ndarray:
     if steps * n * m > DRIVER_CELLS:
         raise MemoryError(f"{steps} x {n} x {m} cells are too many for the driver")
     out = np.zeros((steps, n, m))
-    found = edges.select("t", "u", "v", "w").toPandas()
-    np.add.at(out, (found.t.to_numpy(int), found.u.to_numpy(int), found.v.to_numpy(int)), found.w.to_numpy(float))
+    found = edges.select("t", "u", "v", "w").toArrow()
+    np.add.at(out, (found["t"].to_numpy(), found["u"].to_numpy(), found["v"].to_numpy()), found["w"].to_numpy())
     return out
 
 
