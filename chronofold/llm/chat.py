@@ -82,7 +82,9 @@ def format_windows(rows: DataFrame, budget: int = 1024, history: int = 192, targ
     spans = spans.select("conv_id", "turns", "n_sys", "sys_tok", "window_no", F.col("span.s").alias("s"), F.col("span.e").alias("e"))
     at = F.get("turns", F.col("s"))
     at = F.coalesce(at["cum"] - at["tok"], F.col("sys_tok"))  # tokens before the span
-    held = F.filter(F.slice("turns", F.col("n_sys") + 1, F.greatest(F.col("s") - F.col("n_sys"), F.lit(0))), lambda x: at - (x["cum"] - x["tok"]) <= history)
+    own = F.coalesce(F.get("turns", F.col("e") - 1)["cum"], F.col("sys_tok")) - at
+    room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("sys_tok") - own)  # a large span takes the history's place
+    held = F.filter(F.slice("turns", F.col("n_sys") + 1, F.greatest(F.col("s") - F.col("n_sys"), F.lit(0))), lambda x: at - (x["cum"] - x["tok"]) <= room)
     spans = spans.withColumn("n_hist", F.size(held))
     kept = F.concat(F.slice("turns", F.lit(1), F.col("n_sys")), F.slice("turns", F.col("s") - F.col("n_hist") + 1, F.col("e") - F.col("s") + F.col("n_hist")))
     spans = spans.select("conv_id", "window_no", "s", kept.alias("kept"), (F.when(F.col("window_no") > 0, F.col("n_sys")).otherwise(F.lit(0)) + F.col("n_hist")).alias("n_repeated"))
