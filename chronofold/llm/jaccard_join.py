@@ -2,15 +2,19 @@
 
 1. Documents with equal sets form one class, known by a 64-bit digest of the
    set; only classes are compared.
-2. Shingles take one global order: by hash, those that many texts share last.
+2. Shingles take one global order: those of rare words first, then by hash;
+   those that many texts share come last.
    Two sets of Jaccard 0.75 share a shingle among the first quarter (the
    prefix) of each, so classes meet in groups by prefix shingle.
+   Sets that link share at least eight within seven shingles more, so classes
+   that meet a few times by chance are not compared.
 3. Within a group, signature trees of the sets' bitmaps and sizes are traversed
    in pairs (:mod:`signature_tree`); what the bound leaves is verified on the
    full sets.
 4. A first round looks at the few shingles of least hash only, where near
    copies mostly meet, and proposes two partners per class (the most similar
-   by bitmaps, and the first); the second looks at all prefixes and proposes
+   by bitmaps, and the first); the second looks at all prefixes, gathers the
+   groups that still hold several components into clusters, and proposes
    every pair whose two sides are not linked yet.  So large groups of near
    copies are never expanded into all pairs, and no link between components is
    lost.
@@ -30,19 +34,26 @@ from .common import Workspace, heavy_keys, lookup_join
 from .components import connected
 from .signature_tree import bitmap, candidate_pairs
 from .textops import U64, mix, shingle_sets, utf8_parts, words
+from .workers import tidy
 
+#: Shingles that a task holds while it counts which are shared.
+COUNTED = 2_500_000
+#: Words with a weight of their own, at most: shingles of rare words come first.  Only cost depends on it.
+FREQUENT = 4096
 #: Shingles counted as common, at most; the order of these goes by their counts.  Only cost depends on it.
 COMMON = 200_000
+#: Prefix shingles that linked sets share at least (small sets: all that they must share).
+SHARED = 8
 #: Shingles of least hash of the first round; sets a signature tree holds at most; entries of one exchange partition.
-LEADING, CELL, BUCKET = 6, 2048, 2_000_000
+LEADING, CELL, BUCKET = 6, 8192, 2_000_000
 #: Entries of a shingle above which its group is found by partial aggregation instead of in one task.
 LARGE = 100_000
 #: Documents to verify up to which their ids are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple]:
-    """(keys, sorted shingle sets, set sizes) of runs of texts of about ``size`` bytes; keys: all columns but text."""
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 3 << 20, weigh=None) -> Iterator[tuple]:
+    """(rows, word hashes or their sums' weights, sorted shingle sets, set sizes) of runs of texts of about ``size`` bytes."""
     for batch in batches:
         raw, starts, ends = utf8_parts(batch.column("text"))
         i = 0
@@ -50,8 +61,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[
             j = i + 1
             while j < len(starts) and ends[j] - starts[i] <= size:
                 j += 1
-            keys, sizes = shingle_sets(*words(raw, starts[i:j], ends[i:j]))
-            yield batch.slice(i, j - i), keys, sizes
+            hashes, counts = words(raw, starts[i:j], ends[i:j])
+            if weigh is None:
+                yield batch.slice(i, j - i), hashes, *shingle_sets(hashes, counts)
+            else:
+                keys, sizes, weights = shingle_sets(hashes, counts, weights=weigh(hashes))
+                yield batch.slice(i, j - i), weights, keys, sizes
             i = j
 
 
@@ -68,33 +83,58 @@ def _owners(sizes: np.ndarray) -> np.ndarray:
 
 
 def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: (doc_id, set size, class); of kind 1: shingles that several classes of this chunk share, with their count."""
-    for batch, keys, sizes in _chunks(batches):
+    """Rows of kind 0: (doc_id, set size, class); 1: shingles that several classes among some millions share, with their count; 2: frequent words."""
+    names = ["kind", "a", "n", "b"]
+    held: list[np.ndarray] = []
+    seen: set[int] = set()
+
+    def rows(kind: int, a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(a), np.int64))], names=names)
+
+    def shared() -> pa.RecordBatch:
+        keys, count = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        seen.clear()
+        return rows(1, keys[count > 1], count[count > 1])
+
+    for batch, hashes, keys, sizes in _chunks(batches):
         classes = _digests(keys, sizes)
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(classes)], names=["kind", "a", "n", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(classes)], names=names)
         first = np.zeros(n, bool)
-        first[np.unique(classes, return_index=True)[1]] = True
-        shared, count = np.unique(keys[first[_owners(sizes)]], return_counts=True)
-        shared, count = shared[count > 1], count[count > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(shared), np.int8)), pa.array(shared.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(np.zeros(len(shared), np.int64))], names=["kind", "a", "n", "b"])
+        first[[i for i in np.unique(classes, return_index=True)[1] if int(classes[i]) not in seen]] = True
+        seen.update(classes[first].tolist())
+        held.append(keys[first[_owners(sizes)]])
+        word, times = np.unique(hashes, return_counts=True)
+        often = np.argsort(-times, kind="stable")[:FREQUENT]
+        yield rows(2, word[often], times[often])
+        if sum(map(len, held)) > COUNTED:
+            yield shared()
+    if held:
+        yield shared()
 
 
 def _prefixes(common, percent: int):
     """Per class first seen by the task: class, n, its shingles of least hash, its prefix in the global order, its bitmap."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = common.value
+        tokens, rank, word, weight = common.value
+
+        def weigh(hashes: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(word, hashes), max(0, len(word) - 1))
+            return np.where(word[at] == hashes, weight[at], 0) if len(word) else np.zeros(len(hashes), np.int64)
+
         maybe = np.zeros(1 << 20, bool)
         maybe[(tokens & U64((1 << 20) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
-        for _, keys, sizes in _chunks(batches):
+        for _, weights, keys, sizes in _chunks(batches, weigh=weigh):
             classes = _digests(keys, sizes)
             fresh = np.zeros(len(sizes), bool)
             at = np.unique(classes, return_index=True)[1]
             fresh[[i for i in at if sizes[i] and int(classes[i]) not in seen]] = True
             seen.update(classes[fresh].tolist())
-            keys = keys[fresh[_owners(sizes)]]
+            inside = fresh[_owners(sizes)]
+            keys, weights = keys[inside], weights[inside]
             sizes, classes = sizes[fresh], classes[fresh]
             if not len(sizes):
                 continue
@@ -110,13 +150,14 @@ def _prefixes(common, percent: int):
             n_early = np.concatenate([[0], early])[ends] - before
             order = np.empty(len(keys), np.int64)
             light = np.flatnonzero(~late)
-            order[starts[owner[light]] + early[light] - 1 - before[owner[light]]] = light
+            light = light[np.argsort((owner[light] << 12) + weights[light], kind="stable")]  # hashes are in order already
+            order[np.repeat(starts - (np.cumsum(n_early) - n_early), n_early) + np.arange(len(light))] = light
             heavy = guess[hit]
             by = np.lexsort((rank[place[hit]], owner[heavy]))
             heavy = heavy[by]
             n_late = sizes - n_early
             order[np.repeat(starts + n_early, n_late) + np.arange(len(heavy)) - np.repeat(np.cumsum(n_late) - n_late, n_late)] = heavy
-            take = sizes - -(-percent * sizes // 100) + 1
+            take = np.minimum(sizes, sizes - -(-percent * sizes // 100) + SHARED)
             begin = np.cumsum(take) - take
             prefix = keys[order[np.repeat(starts - begin, take) + np.arange(int(take.sum()))]].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(prefix))
@@ -162,7 +203,7 @@ def _pack(buckets: int, large):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (shingle, class) of the groups of several classes; groups of the same members are given once."""
+    """Members (shingle, class) of the groups of several classes; groups of the same members are given once, with their number."""
     held = [np.frombuffer(part, np.int64).reshape(-1, 2) for batch in batches for part in batch.column("entries").to_pylist()]
     if not held:
         return
@@ -176,12 +217,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.diff(np.append(cut, len(entries)))
     with np.errstate(over="ignore"):
         digest = np.add.reduceat(mix(entries[:, 1].view(U64)), cut) + count.astype(U64)
-    keep = np.zeros(len(cut), bool)
+    times = np.zeros(len(cut), np.int64)
     many = np.flatnonzero(count > 1)
-    keep[many[np.unique(digest[many], return_index=True)[1]]] = True
-    entries = entries[np.repeat(keep, count)]
+    _, first, number = np.unique(digest[many], return_index=True, return_counts=True)
+    times[many[first]] = number
+    kept = np.repeat(times, count)
+    entries, kept = entries[kept > 0], kept[kept > 0]
     for i in range(0, len(entries), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(entries[i : i + 100_000, 0]), pa.array(entries[i : i + 100_000, 1])], names=["token", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(entries[i : i + 100_000, 0]), pa.array(entries[i : i + 100_000, 1]), pa.array(kept[i : i + 100_000])], names=["token", "class", "times"])
 
 
 def _propose(percent: int, spanning: bool):
@@ -237,9 +280,17 @@ def _propose(percent: int, spanning: bool):
     return rows
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps folded to half their width: the second round sends many and leaves little to them."""
+    for batch in batches:
+        whole = batch.column("map").to_pylist()
+        maps = [m if len(m) <= 8 else (np.frombuffer(m[: len(m) // 2], np.uint8) | np.frombuffer(m[len(m) // 2 :], np.uint8)).tobytes() for m in whole]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), pa.array(maps, pa.binary())], names=["class", "n", "map"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The whole set of each row's text, for the place in which it is compared."""
-    for batch, keys, sizes in _chunks(batches):
+    for batch, _, keys, sizes in _chunks(batches):
         ends = np.cumsum(sizes)
         sets = [keys[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("hub", "salt", "is_hub", "class")] + [pa.array(sets, pa.binary())], names=["hub", "salt", "is_hub", "class", "tokens"])
@@ -280,7 +331,7 @@ class JaccardJoin:
         self.work = Workspace(self.spark, "jaccard")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.work.table(self.docs.mapInArrow(_first_rows, "kind byte, a long, n long, b long"), "first")
+        rows = self.work.table(self.docs.mapInArrow(tidy(_first_rows), "kind byte, a long, n long, b long"), "first")
         self.members = rows.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("class"))
         filled = self.members.where("n > 0")
         self.heavy = self.work.table(heavy_keys(filled, ["class"]), "heavy")
@@ -291,12 +342,53 @@ class JaccardJoin:
         order = np.argsort(tokens)
         rank = np.empty(len(tokens), np.int64)
         rank[::-1] = np.arange(len(tokens))  # the most frequent last
-        shared = self.spark.sparkContext.broadcast((tokens[order], rank[order]))
+        frequent = rows.where("kind = 2").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+        word = frequent.word.to_numpy(np.int64).view(U64)
+        by = np.argsort(word)
+        # A word's weight rises with its frequency: 1 for the rarest of the table, a step for each doubling.
+        counts_of = frequent.n.to_numpy(np.int64)
+        weight = 1 + np.floor(np.log2(np.maximum(counts_of, 1) / max(1, counts_of.min(initial=1 << 62)))).astype(np.int64) if len(word) else np.zeros(0, np.int64)
+        shared = self.spark.sparkContext.broadcast((tokens[order], rank[order], word[by], weight[by]))
         self.large = self.spark.sparkContext.broadcast(common.token[common.n > LARGE].to_numpy(np.int64))
-        self.prefixes = self.work.table(self.docs.mapInArrow(_prefixes(shared, percent), "class long, n long, lead array<long>, prefix array<long>, map binary"), "prefixes")
+        self.prefixes = self.work.table(self.docs.mapInArrow(tidy(_prefixes(shared, percent)), "class long, n long, lead array<long>, prefix array<long>, map binary"), "prefixes")
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
+    @staticmethod
+    def _small(df: DataFrame) -> DataFrame:
+        """``df`` for a broadcast if its size allows, else for a shuffle join."""
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def _gathered(self, members: DataFrame) -> DataFrame:
+        """Members of the groups that hold several components, by cluster instead of by shingle.
+
+        Near copies meet in dozens of groups; classes that groups connect form
+        a cluster.  A cluster of at most CELL classes becomes one group, so
+        each class is compared, and its bitmap sent, once.  Larger clusters keep
+        their groups by shingle.
+        """
+        multi = members.groupBy("token").agg(F.min("class").alias("lead"), F.max("class").alias("last"), F.count(F.lit(1)).alias("m"), F.first("times").alias("times"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        multi = self.work.table(multi, "multi")
+        # Chance meetings are few per pair: linked sets share SHARED prefix shingles, or all that they must share.
+        least = F.least(F.lit(SHARED), F.ceil(F.col("n") * self.percent / 100))
+        twos = multi.where("m = 2").groupBy(F.col("lead").alias("class"), F.col("last").alias("other")).agg(F.sum("times").alias("times"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("token").alias("token"))
+        tokens = self._small(multi.select("token"))
+        busy = members.join(tokens, "token", "left_semi").groupBy("class").agg(F.sum("times").alias("total")).where(F.col("total") < SHARED)
+        scarce = self.work.table(busy.join(self.classes.select("class", "n"), "class").where(F.col("total") < least).select("class"), "scarce")
+        twos = self.work.table(twos.join(self.classes.select("class", "n"), "class").where(F.col("times") >= least).select("class", "other", "token"), "twos")
+        tied = twos.select("token", "class").union(twos.select("token", F.col("other")))
+        wide = members.join(self._small(multi.where("m > 2").select("token")), "token", "left_semi").join(self._small(scarce), "class", "left_anti").select("token", "class")
+        open_ = self.work.table(self._with_component(wide.union(tied)), "open0")
+        lead = self.work.table(open_.groupBy("token").agg(F.min("class").alias("lead")), "leads")
+        open_ = self.work.table(open_.join(self._small(lead), "token"), "open")
+        edges = open_.where("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
+        clusters = connected(edges, self.work, "cluster")
+        large = self.work.table(clusters.groupBy("root").count().where(F.col("count") > CELL).select("root", F.lit(True).alias("is_large")), "large_clusters")
+        clusters = self.work.table(clusters.join(large, "root", "left").select(F.col("node").alias("class"), "root", "is_large"), "clusters")
+        whole = open_.select("class", "comp").distinct().join(clusters.where("is_large is null"), "class").select(F.col("root").alias("token"), "class", "comp")
+        parts = open_.select("token", "class", "comp").join(clusters.where("is_large"), "class", "left_semi")
+        return self.work.table(whole.unionByName(parts), "gathered")
+
     def _cells(self, members: DataFrame, spanning: bool) -> DataFrame:
         """Members (token, class, comp) of groups, dealt to cells of at most CELL sets or so, with size and bitmap.
 
@@ -311,12 +403,17 @@ class JaccardJoin:
         else:
             cell = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), (F.col("block") > k).cast("int").alias("side")))
             dealt = rows.select("token", "class", "comp", F.explode(cell).alias("at")).select("token", "class", "comp", "at.i", "at.j", "at.side")
-        maps = self.work.table(self.prefixes.join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("map").alias("map")), f"maps{int(spanning)}")
+        wanted = self.work.table(rows.select("class").distinct(), f"mapped{int(spanning)}")
+        maps = self.prefixes.select("class", "n", "map").join(self._small(wanted), "class", "left_semi")
+        maps = maps.groupBy("class").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+        if not spanning:
+            maps = maps.mapInArrow(_halved, "class long, n long, map binary")
+        maps = self.work.table(maps, f"maps{int(spanning)}")
         return dealt.join(maps, "class")
 
     def _pairs(self, members: DataFrame, spanning: bool, name: str) -> DataFrame:
         cells = self._cells(members, spanning).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "class")
-        return self.work.table(cells.mapInArrow(_propose(self.percent, spanning), "a long, b long").distinct(), name)
+        return self.work.table(cells.mapInArrow(tidy(_propose(self.percent, spanning)), "a long, b long").distinct(), name)
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs that link, by the whole sets: each class's text goes to the hubs it is compared with."""
@@ -324,35 +421,39 @@ class JaccardJoin:
         salted = pairs.withColumnRenamed("a", "hub").join(per_hub, "hub").select("hub", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("is_hub"), F.col("b").alias("class"))
         hubs = per_hub.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("is_hub"), F.col("hub").alias("class"))
         wanted = self.work.table(salted.unionByName(hubs).join(self.classes.select("class", F.col("rep").alias("doc_id")), "class"), f"{name}_wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        sets = self.docs.join(wanted, "doc_id").mapInArrow(_sets, "hub long, salt int, is_hub int, class long, tokens binary")
+        sets = self.docs.join(self._small(wanted), "doc_id").mapInArrow(tidy(_sets), "hub long, salt int, is_hub int, class long, tokens binary")
         dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
         return self.work.table(dealt.mapInArrow(_verify(self.percent), "a long, b long"), name)
 
     def _with_component(self, members: DataFrame) -> DataFrame:
         if self.roots is None:
             return members.withColumn("comp", F.col("class"))
-        return members.join(self.roots.select(F.col("node").alias("class"), "root"), "class", "left").select("token", "class", F.coalesce("root", "class").alias("comp"))
+        return members.join(self._small(self.roots.select(F.col("node").alias("class"), "root")), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
 
     def run(self) -> JaccardJoin:
-        lead = self.prefixes.select(F.explode("lead").alias("token"), "class").distinct()
-        pairs = self._pairs(self._with_component(self.work.table(lead, "lead")), True, "pairs1")
+        lead = self.work.table(self.prefixes.select(F.explode("lead").alias("token"), "class").distinct(), "lead")
+        several = self.work.table(lead.groupBy("token").count().where("count > 1").select("token"), "several")
+        lead = self.work.table(lead.join(self._small(several), "token", "left_semi"), "lead_met")
+        # Near copies meet in most of their leading shingles; who meets but once is left to the second round.
+        twice = self.work.table(lead.groupBy("class").count().where("count > 1").select("class"), "twice")
+        lead = lead.join(self._small(twice), "class", "left_semi")
+        pairs = self._pairs(self._with_component(lead), True, "pairs1")
         self.links = self._verified(pairs, "links1")
         self.roots = connected(self.links, self.work, "cc1")
-        self.work.drop("lead", "maps1", "sizes1")
+        self.work.drop("lead", "lead_met", "maps1", "sizes1")
         entries = self.prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
         buckets = max(self.parts, math.ceil(entries / BUCKET))
-        packed = self.prefixes.select("class", "prefix").mapInArrow(_pack(buckets, self.large), "bucket int, entries binary")
-        met = packed.repartitionById(buckets, "bucket").mapInArrow(_meet, "token long, class long")
+        packed = self.prefixes.select("class", "prefix").mapInArrow(tidy(_pack(buckets, self.large)), "bucket int, entries binary")
+        met = packed.repartitionById(buckets, "bucket").mapInArrow(tidy(_meet), "token long, class long, times long")
         if len(self.large.value):
             often = self.spark.createDataFrame([(int(t),) for t in self.large.value], "token long")  # at most COMMON rows
-            met = met.union(self.prefixes.select(F.explode("prefix").alias("token"), "class").join(F.broadcast(often), "token", "left_semi").distinct())
+            met = met.union(self.prefixes.select(F.explode("prefix").alias("token"), "class").join(F.broadcast(often), "token", "left_semi").distinct().withColumn("times", F.lit(1).cast("long")))
         members = self.work.table(self._with_component(self.work.table(met, "met")), "members")
-        pairs = self._pairs(members, False, "pairs2")
+        pairs = self._pairs(self._gathered(members), False, "pairs2")
         if not pairs.isEmpty():
             self.links = self.links.union(self._verified(pairs, "links2"))
             self.roots = connected(self.links, self.work, "cc2")
-        self.work.drop("met", "members", "maps0", "sizes0", "prefixes")
+        self.work.drop("met", "members", "open0", "open", "gathered", "maps0", "sizes0", "prefixes")
         return self
 
     def components(self) -> DataFrame:

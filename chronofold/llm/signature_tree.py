@@ -67,7 +67,7 @@ def _possible(x: Tree, y: Tree, lx: int, ly: int, i: np.ndarray, j: np.ndarray,
     return keep
 
 
-def dual_traversal(x: Tree, y: Tree, percent: int, same: bool, chunk_bytes: int = 32 << 20) -> tuple[np.ndarray, np.ndarray]:
+def dual_traversal(x: Tree, y: Tree, percent: int, same: bool, chunk_bytes: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index in x, index in y) that may reach ``percent`` of Jaccard; ``same``: x is y, pairs i < j only."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     width = x.levels[0][0].shape[1] * 8
@@ -144,8 +144,9 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, si
             x = tree(a, w1)
             y = x if same else tree(b, w1)
             i, j = dual_traversal(x, y, percent, same)
-            for k in range(0, len(i), 1 << 16):
-                out_s.append(likeness(x, y, i[k : k + (1 << 16)], j[k : k + (1 << 16)]))
+            step = max(256, (4 << 20) // w1)
+            for k in range(0, len(i), step):
+                out_s.append(likeness(x, y, i[k : k + step], j[k : k + step]))
             out_i.append(a[i])
             out_j.append(b[j])
     if not out_s:

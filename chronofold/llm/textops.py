@@ -58,7 +58,7 @@ def utf8_parts(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, starts, ends
 
 
-def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes in order, number of words of each text).  Texts are handled in blocks of about ``block`` bytes."""
     hashes, counts = [], np.zeros(len(starts), np.int64)
     i = 0
@@ -98,8 +98,8 @@ def base_powers(n: int, inverse: bool = False) -> np.ndarray:
     return kept[inverse][:n]
 
 
-def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes text by text, set sizes).
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int = 5, weights: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(sorted distinct shingle hashes text by text, set sizes), and with word ``weights`` each shingle's sum of them.
 
     A text with fewer words than ``width`` has its whole word sequence as its
     one shingle; a text without words has the empty set.
@@ -108,7 +108,7 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> tupl
     ends = np.cumsum(counts)
     starts = ends - counts
     if not n:
-        return np.zeros(0, U64), np.zeros(len(counts), np.int64)
+        return (np.zeros(0, U64), np.zeros(len(counts), np.int64), *([] if weights is None else [np.zeros(0, np.int64)]))
     rolled = np.zeros(n, U64)
     for k in range(width):
         rolled[: n - k] += hashes[k:] * _PLACE[k]
@@ -126,5 +126,10 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> tupl
     keys, owner = keys[order], owner[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    keys, owner = keys[first], owner[first]
-    return keys, np.bincount(owner, minlength=len(counts)).astype(np.int64)
+    sizes = np.bincount(owner[first], minlength=len(counts)).astype(np.int64)
+    if weights is None:
+        return keys[first], sizes
+    total = np.concatenate([[0], np.cumsum(weights)])
+    at = np.flatnonzero(whole)
+    sums = total[np.minimum(at + width, ends[text[at]])] - total[at]
+    return keys[first], sizes, sums[order][first]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import types
 
@@ -10,3 +11,24 @@ def process_cache(name: str) -> dict:
     """A dict that outlives the task: kernels are pickled by value, so their module globals do not."""
     holder = sys.modules.setdefault("_chronofold_process", types.ModuleType("_chronofold_process"))
     return holder.__dict__.setdefault("caches", {}).setdefault(name, {})
+
+
+def tidy(kernel):
+    """A batch kernel that hands freed memory back to the system when its task ends: workers live on between tasks."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        import ctypes
+
+        import pyarrow
+
+        try:
+            yield from kernel(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return run
