@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .workers import process_cache
+from .workers import process_cache, tidy
 
 #: The bounded training sample: rows per language, characters per language, languages, distinct letters.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 24_000, 256, 400
@@ -128,8 +128,8 @@ class CrossParser:
             raw = raw[(raw != 0) | np.concatenate([[True], raw[:-1] != 0])] if len(raw) else raw
             table = suffix_automaton(raw.tolist(), self.symbols.size)
             dead = table == 0
-            start = np.where(table[1] == 0, 1, table[1])  # a letter the sample lacks is a phrase of its own
-            full = np.where(dead, start[None, :], table) * self.symbols.size
+            # Row 0 stands before any phrase; a letter that the sample lacks is a phrase of its own and leads back there.
+            full = np.where(dead, table[1][None, :], table) * self.symbols.size
             full[dead] |= ENDED
             full[:, self.symbols.pad] = np.arange(len(table)) * self.symbols.size
             self.tables.append(full.astype(np.int32).ravel())
@@ -140,8 +140,8 @@ class CrossParser:
         steps = np.ascontiguousarray(symbols.T)
         out = np.zeros((len(self.langs), n))
         for k, table in enumerate(self.tables):
-            state = np.full(symbols.shape[0], self.symbols.size, np.int32)
-            count = np.ones(symbols.shape[0], np.int32)
+            state = np.zeros(symbols.shape[0], np.int32)
+            count = np.zeros(symbols.shape[0], np.int32)
             for column in steps:
                 value = table.take(state + column)
                 count += value >> 30
@@ -219,12 +219,12 @@ def identify(docs: DataFrame) -> DataFrame:
     texts = training_texts(docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(_predict(texts, ["doc_id", "held_out"]), f"doc_id {kind}, held_out boolean, {OUT}")
+    return rows.mapInArrow(tidy(_predict(texts, ["doc_id", "held_out"])), f"doc_id {kind}, held_out boolean, {OUT}")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language can be told (not ``und``)."""
     texts = training_texts(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = docs.select(row, F.col("text").alias("text")).mapInArrow(_predict(texts, ["row"]), f"row {docs.schema.simpleString()}, {OUT}")
+    judged = docs.select(row, F.col("text").alias("text")).mapInArrow(tidy(_predict(texts, ["row"])), f"row {docs.schema.simpleString()}, {OUT}")
     return judged.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"row.`{c}`") for c in docs.columns])
