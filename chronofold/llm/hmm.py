@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .textops import utf8_parts, words
+from .workers import tidy
 
 #: Latent states; words with emissions of their own; Baum-Welch passes over the corpus; bytes of text coded together.
 STATES, VOCABULARY, PASSES, CHUNK = 6, 2000, 4, 12 << 20
@@ -341,10 +342,10 @@ class HiddenMarkovModel:
         self.work, context = Workspace(spark, "hmm"), spark.sparkContext
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-        coded = self.work.table(rows.mapInArrow(_code(parts, chunk_bytes), CODED), "coded")
+        coded = self.work.table(rows.mapInArrow(tidy(_code(parts, chunk_bytes)), CODED), "coded")
         texts, slices = coded.where("bucket is null"), coded.where("bucket is not null")
         counted = slices.select("chunk", "bucket", "hashes", "data").repartitionById(parts, "bucket")
-        counted = self.work.table(counted.mapInArrow(_count(vocabulary), "kind byte, chunk long, bucket int, hashes binary, data binary, hash long, n long"), "counted")
+        counted = self.work.table(counted.mapInArrow(tidy(_count(vocabulary)), "kind byte, chunk long, bucket int, hashes binary, data binary, hash long, n long"), "counted")
         top = counted.where("kind = 1").orderBy(F.desc("n"), "hash").limit(vocabulary).select("hash", "n").toPandas()  # vocabulary rows
         types, word_tokens = counted.where("kind = 2").agg(F.coalesce(F.sum("hash"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         documents = texts.where("not held").count()
@@ -355,7 +356,7 @@ class HiddenMarkovModel:
         codes = counted.where("kind = 0").select("chunk", "bucket", "hashes", "data").mapInArrow(_encode_counts(context.broadcast((hashes[order], order))), "chunk long, kind byte, bucket int, doc_id long, held boolean, data binary")
         both = codes.union(texts.select("chunk", F.lit(1).cast("byte").alias("kind"), F.lit(0).alias("bucket"), "doc_id", "held", "data"))
         dealt = both.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-        self.sequences = self.work.table(dealt.mapInArrow(_sequences(self.stats, context.broadcast(own)), SEQUENCES), "sequences")
+        self.sequences = self.work.table(dealt.mapInArrow(tidy(_sequences(self.stats, context.broadcast(own))), SEQUENCES), "sequences")
         self.work.drop("coded", "counted")
         # The symbols' shares: own words, rare words, the end.
         share = np.concatenate([own, [max(0, self.stats["rare_tokens"]) + 1], [documents + 1]]).astype(float)
@@ -367,7 +368,7 @@ class HiddenMarkovModel:
     def _improve(self, context, states: int) -> None:
         """One Baum-Welch pass: expected counts of each task, summed by Spark; a fixed number of sums comes back."""
         shared = context.broadcast(self.chain)
-        found = self.sequences.where("not held_out").select("symbols").mapInArrow(_expectation(shared), "place int, value double")
+        found = self.sequences.where("not held_out").select("symbols").mapInArrow(tidy(_expectation(shared)), "place int, value double")
         sums = found.groupBy("place").agg(F.sum("value").alias("value")).toPandas()
         flat = np.zeros(states + states * states + states * len(self.share) + 1)
         flat[sums.place.to_numpy(int)] = sums.value
@@ -376,7 +377,7 @@ class HiddenMarkovModel:
         self.chain = self.chain.improved(flat[:states], flat[states : states + states * states].reshape(states, states), emits, self.share)
 
     def scores(self) -> DataFrame:
-        out = self.sequences.mapInArrow(_score(self.sequences.sparkSession.sparkContext.broadcast(self.chain)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        out = self.sequences.mapInArrow(tidy(_score(self.sequences.sparkSession.sparkContext.broadcast(self.chain))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         return out.withColumn("train_tokens", F.lit(int(self.stats["tokens"])).cast("long"))
 
 
