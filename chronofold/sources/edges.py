@@ -94,7 +94,6 @@ def trade_edges(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataF
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("u"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("v"))
     value = F.sum(F.when(F.col("l_returnflag") == "R", -1.0).when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0)) if signed else F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6
-    # Sum per (year, customer, supplier) first: the nation keys join the sums, not the lines.
     return rows.join(customer, "o_custkey").join(supplier, "l_suppkey").groupBy((F.year("o_orderdate") - 1995).alias("t"), "u", "v").agg(value.alias("w"))
 
 
