@@ -15,10 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .textops import mix, utf8_parts
-from .workers import process_cache
+from .workers import process_cache, tidy
 
 #: q-gram length; segment length and stride; edits allowed per segment character; benchmark bytes handled in one pass.
 Q, SEGMENT, STRIDE, EDITS, BLOCK_BYTES = 10, 100, 50, 0.06, 4 << 20
@@ -196,7 +195,7 @@ class QGramIndex:
         return best[np.arange(len(seg)), at].astype(np.int64), np.minimum(stop, high)
 
 
-def _scan(items: list[tuple[int, str]], keys: list[str], size: int = 2 << 20):
+def _scan(items: list[tuple[int, str]], keys: list[str], size: int = 1 << 19):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = process_cache("q-gram indexes")
         mark = hash(tuple(items))
@@ -256,34 +255,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     kind = dict(docs.dtypes)["doc_id"]
     out = None
     for block in item_blocks(benchmark, block_bytes):
-        part = docs.select("doc_id", "text").mapInArrow(_scan(block, ["doc_id"]), f"doc_id {kind}, {LEAKS}")
+        part = docs.select("doc_id", "text").mapInArrow(tidy(_scan(block, ["doc_id"])), f"doc_id {kind}, {LEAKS}")
         out = part if out is None else out.union(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, {LEAKS}")
     return out
 
 
-def _flag(items: list[tuple[int, str]]):
+def _drop(items: list[tuple[int, str]]):
     scan = _scan(items, ["at"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            bad = np.zeros(n, bool)
-            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column("text")], names=["at", "text"])
+            good = np.ones(batch.num_rows, bool)
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["at", "text"])
             for found in scan(iter([numbered])):
-                bad[found.column("at").to_numpy()] = True
-            rest = batch.column("row").filter(pa.array(~bad))
-            yield pa.RecordBatch.from_arrays([rest], names=["row"])
+                good[found.column("at").to_numpy()] = False
+            yield batch.filter(pa.array(good))
 
     return rows
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no benchmark item."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs
     for block in item_blocks(benchmark, block_bytes):
-        flagged = out.select(row, F.col("text").alias("text")).mapInArrow(_flag(block), f"row {docs.schema.simpleString()}")
-        out = flagged.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+        out = out.mapInArrow(tidy(_drop(block)), docs.schema)
     return out

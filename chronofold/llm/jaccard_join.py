@@ -37,7 +37,7 @@ from .textops import U64, mix, shingle_sets, utf8_parts, words
 from .workers import tidy
 
 #: Shingles that a task holds while it counts which are shared.
-COUNTED = 2_500_000
+COUNTED = 1_500_000
 #: Words with a weight of their own, at most: shingles of rare words come first.  Only cost depends on it.
 FREQUENT = 4096
 #: Shingles counted as common, at most; the order of these goes by their counts.  Only cost depends on it.
@@ -52,7 +52,7 @@ LARGE = 100_000
 BROADCAST_ROWS = 1_000_000
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 3 << 20, weigh=None) -> Iterator[tuple]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2 << 20, weigh=None) -> Iterator[tuple]:
     """(rows, word hashes or their sums' weights, sorted shingle sets, set sizes) of runs of texts of about ``size`` bytes."""
     for batch in batches:
         raw, starts, ends = utf8_parts(batch.column("text"))
@@ -194,7 +194,7 @@ def _pack(buckets: int, large):
             if len(skip):
                 entries = entries[~np.isin(entries[:, 0], skip)]
             held.append(entries)
-            if sum(map(len, held)) >= BUCKET:
+            if sum(map(len, held)) >= BUCKET // 4:
                 yield flush()
         if held:
             yield flush()

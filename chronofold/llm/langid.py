@@ -176,7 +176,9 @@ class CrossParser:
         return names, np.where(letters, score, 0.0)
 
 
-def _predict(texts: dict[str, str], keep: list[str], size: int = 1_500_000):
+def _predict(texts: dict[str, str], keep: list[str] | None, size: int = 1_000_000):
+    """Add the prediction to the columns ``keep``; without these, keep the rows, whole, that have a language."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = process_cache("cross parsers")
         key = hash(tuple(texts.items()))
@@ -203,7 +205,10 @@ def _predict(texts: dict[str, str], keep: list[str], size: int = 1_500_000):
                 if total >= size:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"])
+            if keep is None:
+                yield batch.filter(pa.array([name != UNDETERMINED for name in names]))
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"])
 
     return rows
 
@@ -224,7 +229,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language can be told (not ``und``)."""
-    texts = training_texts(docs)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = docs.select(row, F.col("text").alias("text")).mapInArrow(tidy(_predict(texts, ["row"])), f"row {docs.schema.simpleString()}, {OUT}")
-    return judged.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return docs.mapInArrow(tidy(_predict(training_texts(docs), None)), docs.schema)
