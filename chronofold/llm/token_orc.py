@@ -18,7 +18,7 @@ from pyspark.sql import Window
 
 from .common import Workspace
 from .textops import base_powers, mix, utf8_parts
-from .workers import process_cache
+from .workers import process_cache, tidy
 
 STORED = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
@@ -230,7 +230,7 @@ class TokenStore:
         """Encode ``docs`` (doc_id, text) in ascending doc_id order (ties by text; null ids first; a null text is empty)."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-        tokens = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), STORED)
+        tokens = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, end_id)), STORED)
         options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(row_stride), "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true"}
         tokens.write.mode("overwrite").options(**options).orc(path)
         return cls(docs.sparkSession, path)
@@ -250,7 +250,7 @@ class TokenStore:
 
     def digest(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 as read back from the files."""
-        rows = self.read().select("doc_id", "part", "local_start", "ids").mapInArrow(_checksums, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+        rows = self.read().select("doc_id", "part", "local_start", "ids").mapInArrow(tidy(_checksums), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
         placed = rows.join(F.broadcast(self.starts()), "part")  # a row per file
         return placed.select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
