@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is written: whole texts make large rows.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -47,7 +50,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        conf = self.spark.conf
+        usual = conf.get(BATCH_CONF)
+        conf.set(BATCH_CONF, str(min(int(usual), BATCH_ROWS)) if int(usual) > 0 else str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(BATCH_CONF, usual)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from .workers import process_cache, tidy
 
 #: The bounded training sample: rows per language, characters per language, languages, distinct letters.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 24_000, 256, 400
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 12_000, 256, 400
 #: Characters parsed in one go; longer texts are parsed piece by piece, all of them.
 PIECE = 256
 UNDETERMINED = "und"
