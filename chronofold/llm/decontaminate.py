@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from .textops import mix, utf8_parts
 from .workers import process_cache, tidy
 
-#: q-gram length; segment length and stride; edits allowed per segment character; benchmark bytes handled in one pass.
-Q, SEGMENT, STRIDE, EDITS, BLOCK_BYTES = 10, 100, 50, 0.06, 4 << 20
+#: q-gram length; longest item matched as a whole; length and stride of the segments of longer excerpts; edits allowed
+#: per segment character; benchmark bytes handled in one pass.
+Q, SEGMENT, PART, STRIDE, EDITS, BLOCK_BYTES = 10, 100, 50, 10, 0.06, 2 << 20
 LEAKS = "item_id long, n_segments int, edits int, start int, stop int"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -61,12 +62,19 @@ def qgrams(text: np.ndarray) -> np.ndarray:
 
 
 def segments_of(length: int) -> list[tuple[int, int]]:
-    """Segments that cover an item; shorter items are one segment, items without a q-gram none."""
+    """Segments of an item: all of it if it is short, and parts at a stride; items without a q-gram have none.
+
+    A part may begin at every tenth character, so an excerpt is found by its
+    length wherever it begins.  The last parts are counted from the end too:
+    any hundred characters from there within 6 edits hold one within 3.
+    """
     if length < Q:
         return []
-    if length <= SEGMENT:
-        return [(0, length)]
-    return [(a, a + SEGMENT) for a in [*range(0, length - SEGMENT, STRIDE), length - SEGMENT]]
+    whole = [(0, length)] if length <= SEGMENT else []
+    if length <= PART:
+        return whole
+    starts = {*range(0, length - PART, STRIDE), length - PART, max(0, length - 2 * PART)}
+    return whole + [(a, a + PART) for a in sorted(starts)]
 
 
 class QGramIndex:
