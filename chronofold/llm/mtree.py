@@ -4,7 +4,9 @@ Inner products become a metric by one more coordinate: with M the largest norm,
 x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have distance^2 = |q|^2 + M^2 - 2 q.x,
 so nearest neighbours are the highest products.  Every block of rows gets a
 tree of pages; a query goes through it best first and skips subtrees and rows
-by covering radii and stored distances to parents.  Scores are exact integers.
+by covering radii and stored distances to parents.  Scores are exact integers:
+vectors too long for exact float64 products are kept out of the trees and
+scored with Python integers where a float64 estimate does not rule them out.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Rows of a leaf page; children of an inner node; queries of one pass; largest integer component.
-PAGE, FANOUT, QUERIES, LARGEST = 256, 12, 4096, 1 << 21
+#: Rows of a leaf page; children of an inner node; queries of one pass; squared norm below which products are exact.
+PAGE, FANOUT, QUERIES, EXACT = 256, 12, 4096, float(1 << 52)
+#: Range of the long column that holds scores.
+LONG = (1 << 63) - 1
 
 
 class MTree:
@@ -116,12 +120,15 @@ class MTree:
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id, v (array<double> of integers floor(scale * x)); rows that take no part are left out.
 
-    Left out: null ids, null or empty vectors, vectors with null or non-finite
-    components or with components beyond 2^21, whose products are not exact.
+    Left out: null ids, null vectors, vectors with null or non-finite components.
     """
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST))
-    return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+
+    def whole(x):
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # larger ones are integers
+
+    usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, whole).alias("v"))
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,19 +141,79 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[at], flat[offsets[at][:, None] + np.arange(n)]
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """``rows`` by a power of two, so that products neither overflow nor lose digits."""
+    return np.ldexp(rows, -int(np.frexp(np.abs(rows).max(initial=0.0))[1]))
+
+
+class LongVectors:
+    """Rows that are scored by Python integers, unless a float64 estimate rules them out."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        self.low = _scaled(rows)
+        self.size = np.abs(self.low)
+
+    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> None:
+        """Update ``best`` as :meth:`MTree.search` does."""
+        q = _scaled(query)
+        estimate = self.low @ q
+        error = (len(q) + 4) * 2.0**-51 * (self.size @ np.abs(q)) + 1e-290
+        at = np.flatnonzero(self.ids != own)
+        if len(at) > k:
+            least = np.partition((estimate - error)[at], len(at) - k)[len(at) - k]
+            at = at[(estimate + error)[at] >= least]
+        wanted = [int(x) for x in query]
+        for row, i in zip(self.rows[at].tolist(), self.ids[at].tolist(), strict=True):
+            entry = (sum(int(x) * y for x, y in zip(row, wanted, strict=True)), -i)
+            if len(best) < k:
+                heapq.heappush(best, entry)
+            elif entry > best[0]:
+                heapq.heapreplace(best, entry)
+
+
+def place_of(score: int) -> str:
+    """Sorts as the scores do, by itself where they leave the range of a long; "5" within it."""
+    if -LONG - 1 <= score <= LONG:
+        return "5"
+    n, bits = abs(score), abs(score).bit_length()
+    digits = -(-bits // 4)
+    if score > 0:
+        return f"9{bits:05d}{n:0{digits}x}"
+    return f"1{99999 - bits:05d}{(1 << bits) - n:0{digits}x}"
+
+
 def _search(queries, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = queries.value  # of one block
+        with np.errstate(over="ignore"):
+            plain = [float(v @ v) < EXACT for v in vectors]
         heaps: list[list] = [[] for _ in ids]
+        exact: list[list] = [[] for _ in ids]  # apart, as the bounds of the trees are floats
         for batch in batches:
             for own, matrix in _matrices(batch):
-                tree = MTree(matrix, own)
-                for q, v, heap in zip(ids, vectors, heaps, strict=True):
-                    if len(v) == matrix.shape[1]:
+                with np.errstate(over="ignore"):
+                    fits = (matrix * matrix).sum(1) < EXACT
+                tree = MTree(matrix[fits], own[fits])
+                beyond = None if fits.all() else LongVectors(matrix[~fits], own[~fits])
+                every = None if all(plain) else LongVectors(matrix, own)
+                for q, v, easy, heap, big in zip(ids, vectors, plain, heaps, exact, strict=True):
+                    if len(v) != matrix.shape[1]:
+                        continue
+                    if not easy:
+                        every.search(v, q, k, big)
+                        continue
+                    if len(tree.ids):
                         tree.search(v, q, k, heap)
-        out = [(q, -i, int(s)) for q, heap in zip(ids, heaps, strict=True) for s, i in heap]
+                    if beyond is not None:
+                        beyond.search(v, q, k, big)
+        best = [heapq.nlargest(k, heap + big) for heap, big in zip(heaps, exact, strict=True)]
+        out = [(q, -i, int(s)) for q, found in zip(ids, best, strict=True) for s, i in found]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            query, row, score = zip(*out, strict=True)
+            place = [place_of(s) for s in score]
+            score = [s if p == "5" else None for s, p in zip(score, place, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(row, pa.int64()), pa.array(score, pa.int64()), pa.array(place, pa.string())], names=["query_id", "vec_id", "score", "place"])
 
     return rows
 
@@ -157,7 +224,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERI
     Both have vec_id and v (see :func:`integer_vectors`).  Queries are taken in
     blocks of ``block``, streamed through the driver, each one pass over the
     rows.  Of repeated query ids the smallest vector is asked; repeated rows are
-    separate candidates; only vectors of the query's length are compared.
+    separate candidates; only vectors of the query's length are compared.  Ranks
+    are exact at any size; a score that no long can hold is null.
     """
     if k < 1 or block < 1:
         raise ValueError("k and block must be positive")
@@ -166,7 +234,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERI
 
     def ask() -> DataFrame:
         shared = spark.sparkContext.broadcast((list(ids), list(held)))
-        return vectors.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long")
+        return vectors.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long, place string")
 
     for r in queries.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").toLocalIterator():
         ids.append(r.vec_id)
@@ -177,8 +245,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERI
     if ids:
         best = ask() if best is None else best.union(ask())
     if best is None:
-        best = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = spark.createDataFrame([], "query_id long, vec_id long, score long, place string")
+    order = Window.partitionBy("query_id").orderBy(F.desc("place"), F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
