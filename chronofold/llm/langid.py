@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from .workers import process_cache, tidy
 
 #: The bounded training sample: rows per language, characters per language, languages, distinct letters.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 12_000, 256, 400
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 24_000, 256, 400
 #: Characters parsed in one go; longer texts are parsed piece by piece, all of them.
 PIECE = 256
 UNDETERMINED = "und"
@@ -33,7 +33,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> dict[str, str]:
-    """At most ``chars`` characters of ``rows`` texts per language, texts of moderate length first, else by id hash.
+    """At most ``chars`` characters of ``rows`` distinct texts per language, texts of moderate length first, else by id hash.
 
     Only rows with text and label outside the held-out part are seen; of more
     than ``langs`` labels the most frequent are learnt.
@@ -41,8 +41,13 @@ def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
     moderate = F.length("text").between(200, 8000)
-    order = Window.partitionBy("lang").orderBy(F.desc(moderate), F.xxhash64("doc_id"), "text")
-    picked = labelled.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= rows).join(F.broadcast(known), "lang", "left_semi")
+    texts = labelled.select("lang", "text", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("d"))
+    # Copies of a text are found by its hash: texts themselves are not shuffled but for those picked.
+    distinct = texts.groupBy("lang", "h").agg(F.min("d").alias("d"), F.max(moderate).alias("moderate"))
+    order = Window.partitionBy("lang").orderBy(F.desc("moderate"), "d", "h")
+    chosen = distinct.select("lang", "h", "d", F.row_number().over(order).alias("k")).where(F.col("k") <= rows).join(F.broadcast(known), "lang", "left_semi")
+    one = Window.partitionBy("lang", "k").orderBy("text")
+    picked = texts.join(F.broadcast(chosen), ["lang", "h", "d"]).select("lang", "text", "k", F.row_number().over(one).alias("copy")).where(F.col("copy") <= 1)
     found: dict[str, list] = {}
     for r in picked.select("lang", "k", F.left("text", F.lit(chars)).alias("text")).collect():  # rows * langs at most
         found.setdefault(r.lang, []).append((r.k, r.text))
@@ -122,28 +127,36 @@ class CrossParser:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         self.symbols = Symbols(texts)
-        self.tables, self.bits = [], []
+        self.tables, self.columns, self.bits = [], [], []
         for lang in self.langs:
             raw = self.symbols.of(points_of(texts[lang]))
             raw = raw[(raw != 0) | np.concatenate([[True], raw[:-1] != 0])] if len(raw) else raw
-            table = suffix_automaton(raw.tolist(), self.symbols.size)
-            dead = table == 0
+            # A table has columns for the symbols of its own sample only, one for all others and one for padding.
+            own = np.unique(raw)
+            other, pad, size = len(own), len(own) + 1, len(own) + 2
+            column = np.full(self.symbols.size, other, np.int32)
+            column[own] = np.arange(len(own))
+            column[self.symbols.pad] = pad
+            full = suffix_automaton(column[raw].tolist(), size)
+            dead = full == 0
             # Row 0 stands before any phrase; a letter that the sample lacks is a phrase of its own and leads back there.
-            full = np.where(dead, table[1][None, :], table) * self.symbols.size
+            np.copyto(full, full[1].copy(), where=dead)
+            full *= size
             full[dead] |= ENDED
-            full[:, self.symbols.pad] = np.arange(len(table)) * self.symbols.size
-            self.tables.append(full.astype(np.int32).ravel())
+            full[:, pad] = np.arange(len(full)) * size
+            self.tables.append(full.ravel())
+            self.columns.append(column)
             self.bits.append(np.log2(max(2, len(raw))))
 
     def phrases(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Phrases of each text per language; ``symbols``: one row per piece, padded; ``owner``: its text."""
         steps = np.ascontiguousarray(symbols.T)
         out = np.zeros((len(self.langs), n))
-        for k, table in enumerate(self.tables):
+        for k, (table, place) in enumerate(zip(self.tables, self.columns, strict=True)):
             state = np.zeros(symbols.shape[0], np.int32)
             count = np.zeros(symbols.shape[0], np.int32)
             for column in steps:
-                value = table.take(state + column)
+                value = table.take(state + place.take(column))
                 count += value >> 30
                 state = value & (ENDED - 1)
             out[k] = np.bincount(owner, count, n)
