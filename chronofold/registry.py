@@ -113,6 +113,37 @@ def yearly_graph_edges(spark, sf_dir):
     return E.yearly_graph(rows, 50, None, 1996, 1999).edges
 
 
+@query(_with(HANDOFF, DEGREE) + "SELECT node_id, idx::INTEGER AS idx, degree FROM top WHERE idx < 300")
+def degree_top_nodes_300(spark, sf_dir):
+    """With the default of 300 nodes; ``degree_top_nodes`` and its SQL take 40."""
+    return E.select_nodes(E.handoff_rows(spark, sf_dir), 300)
+
+
+def _trust_rows(spark, sf_dir):
+    return E.handoff_rows(spark, sf_dir).select("source", "target", F.lit(10.0).alias("rating"), F.unix_timestamp(F.col("day").cast("timestamp")).cast("double").alias("time"), "pos")
+
+
+@query(_with(HANDOFF, DEGREE, "kept AS (SELECT node_id, idx FROM top WHERE idx < 300)", "lab AS (SELECT a.idx AS u, b.idx AS v, strftime(day, '%Y-%m') AS label FROM rows JOIN kept a ON a.node_id = source JOIN kept b ON b.node_id = target)")
+       + "SELECT (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS t, u::INTEGER AS u, v::INTEGER AS v, count(*)::DOUBLE AS w FROM lab GROUP BY label, u, v")
+def trust_graph_edges_300(spark, sf_dir):
+    """With the default of 300 nodes; ``trust_graph_edges`` and its SQL take 60."""
+    return E.trust_graph(_trust_rows(spark, sf_dir)).edges
+
+
+@query("""WITH r AS (SELECT o_custkey AS source, o_orderkey AS target, year(o_orderdate) AS y, o_orderkey % 5 = 0 AS none, (o_orderkey % 3)::DOUBLE AS wt, o_orderkey AS pos FROM orders),
+ends AS (SELECT source AS id, 0 AS side, pos FROM r UNION ALL SELECT target, 1, pos FROM r),
+deg AS (SELECT id, count(*) AS degree, min(side * 1000000000000 + pos) AS first FROM ends GROUP BY id),
+top AS (SELECT id, row_number() OVER (ORDER BY degree DESC, first) - 1 AS idx FROM deg), kept AS (SELECT id, idx FROM top WHERE idx < 1000),
+e AS (SELECT y, a.idx AS u, b.idx AS v, CASE WHEN none THEN 1.0 ELSE wt END AS w FROM r JOIN kept a ON a.id = source JOIN kept b ON b.id = target)
+SELECT (dense_rank() OVER (ORDER BY y) - 1)::INTEGER AS t, u::INTEGER AS u, v::INTEGER AS v, sum(w)::DOUBLE AS w FROM e GROUP BY y, u, v""")
+def yearly_graph_edges_1000(spark, sf_dir):
+    """Real keys, all years and the default of 1000 nodes; ``yearly_graph_edges`` and its SQL fold the keys and take four years."""
+    key = F.col("o_orderkey")
+    rows = E.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), key.alias("target"), F.year("o_orderdate").alias("year"), F.when(key % 5 != 0, (key % 3).cast("double")).alias("weight"), key.alias("pos"))
+    last = rows.agg(F.max(F.greatest("source", "target"))).first()[0]
+    return E.yearly_graph(rows, (last or 0) + 1).edges
+
+
 @query("SELECT (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS t, label FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS label FROM orders)")
 def time_bins(spark, sf_dir):
     label = E.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("label")).distinct()
