@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, heavy_keys, lookup_join
@@ -44,12 +44,14 @@ FREQUENT = 4096
 COMMON = 200_000
 #: Prefix shingles that linked sets share at least (small sets: all that they must share).
 SHARED = 8
-#: Shingles of least hash of the first round; sets a signature tree holds at most; entries of one exchange partition.
-LEADING, CELL, BUCKET = 6, 8192, 2_000_000
+#: Shingles of least hash of the first round; sets of a block of a group (a cell compares one or two blocks); entries of one exchange partition.
+LEADING, CELL, BUCKET = 6, 2048, 2_000_000
 #: Entries of a shingle above which its group is found by partial aggregation instead of in one task.
 LARGE = 100_000
-#: Documents to verify up to which their ids are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes (estimated as hashed in memory) up to which a counted table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
+#: Name of the row key in tables that carry foreign columns too.
+KEY = "__chronofold_row_key"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2 << 20, weigh=None) -> Iterator[tuple]:
@@ -83,13 +85,14 @@ def _owners(sizes: np.ndarray) -> np.ndarray:
 
 
 def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: (doc_id, set size, class); 1: shingles that several classes among some millions share, with their count; 2: frequent words."""
-    names = ["kind", "a", "n", "b"]
+    """Rows of kind 0: (doc_id, set size, class, row key); 1: shingles that several classes among some millions share, with their count; 2: frequent words."""
+    names = ["kind", "a", "n", "b", "key"]
     held: list[np.ndarray] = []
     seen: set[int] = set()
 
     def rows(kind: int, a: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(a), np.int64))], names=names)
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.view(np.int64)), pa.array(n.astype(np.int64)), none, none], names=names)
 
     def shared() -> pa.RecordBatch:
         keys, count = np.unique(np.concatenate(held), return_counts=True)
@@ -100,7 +103,7 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, hashes, keys, sizes in _chunks(batches):
         classes = _digests(keys, sizes)
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(classes)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id"), pa.array(sizes), pa.array(classes), batch.column("key")], names=names)
         first = np.zeros(n, bool)
         first[[i for i in np.unique(classes, return_index=True)[1] if int(classes[i]) not in seen]] = True
         seen.update(classes[first].tolist())
@@ -289,15 +292,18 @@ def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole set of each row's text, for the place in which it is compared."""
+    """(class, set) of each row's text; rows that repeat a class within the task are passed over."""
+    seen: set[int] = set()
     for batch, _, keys, sizes in _chunks(batches):
-        ends = np.cumsum(sizes)
-        sets = [keys[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("hub", "salt", "is_hub", "class")] + [pa.array(sets, pa.binary())], names=["hub", "salt", "is_hub", "class", "tokens"])
+        classes, ends = _digests(keys, sizes), np.cumsum(sizes)
+        fresh = [i for i in np.unique(classes, return_index=True)[1].tolist() if int(classes[i]) not in seen]
+        seen.update(classes[fresh].tolist())
+        sets = [keys[ends[i] - sizes[i] : ends[i]].tobytes() for i in fresh]
+        yield pa.RecordBatch.from_arrays([pa.array(classes[fresh]), pa.array(sets, pa.binary())], names=["class", "tokens"])
 
 
 def _verify(percent: int):
-    """Links (a, b) of each hub with the classes it is compared with; the hub's row comes first."""
+    """Links (a, b) of each hub with the classes it is compared with; the hub's rows come first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.zeros(0, U64)
@@ -321,21 +327,32 @@ def _verify(percent: int):
     return rows
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit key of a row's doc_id and text.  Rows that repeat both share it; any others have keys of their own."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 class JaccardJoin:
-    """State of one join: class table, prefixes, links found so far."""
+    """State of one join: class table, prefixes, links found so far.
+
+    Rows are known by :func:`row_key`, never by doc_id alone, so repeated and
+    null ids keep apart.
+    """
 
     def __init__(self, docs: DataFrame, percent: int = 75):
         if not 0 < percent <= 100:
             raise ValueError("percent must be between 1 and 100")
         self.spark, self.percent = docs.sparkSession, percent
         self.work = Workspace(self.spark, "jaccard")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), row_key(docs).alias("key"))
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.work.table(self.docs.mapInArrow(tidy(_first_rows), "kind byte, a long, n long, b long"), "first")
-        self.members = rows.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("class"))
+        rows = self.work.table(self.docs.mapInArrow(tidy(_first_rows), "kind byte, a long, n long, b long, key long"), "first")
+        self.members = rows.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("class"), "key")
         filled = self.members.where("n > 0")
         self.heavy = self.work.table(heavy_keys(filled, ["class"]), "heavy")
-        self.classes = self.work.table(filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))  # a null doc_id comes last
+        classes = filled.groupBy("class").agg(F.first("n").alias("n"), first.alias("first"))
+        self.classes = self.work.table(classes.select("class", "n", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key")), "classes")
         counts = rows.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
         common = counts.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()  # at most COMMON rows
         tokens = common.token.to_numpy(np.int64).view(U64)
@@ -356,8 +373,8 @@ class JaccardJoin:
 
     @staticmethod
     def _small(df: DataFrame) -> DataFrame:
-        """``df`` for a broadcast if its size allows, else for a shuffle join."""
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        """``df``, of fixed-width columns, for a broadcast if its size allows, else for a shuffle join."""
+        return F.broadcast(df) if df.count() * (24 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
     def _gathered(self, members: DataFrame) -> DataFrame:
         """Members of the groups that hold several components, by cluster instead of by shingle.
@@ -420,9 +437,10 @@ class JaccardJoin:
         per_hub = self.work.table(pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("salts")), f"{name}_hubs")
         salted = pairs.withColumnRenamed("a", "hub").join(per_hub, "hub").select("hub", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("is_hub"), F.col("b").alias("class"))
         hubs = per_hub.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("is_hub"), F.col("hub").alias("class"))
-        wanted = self.work.table(salted.unionByName(hubs).join(self.classes.select("class", F.col("rep").alias("doc_id")), "class"), f"{name}_wanted")
-        sets = self.docs.join(self._small(wanted), "doc_id").mapInArrow(tidy(_sets), "hub long, salt int, is_hub int, class long, tokens binary")
-        dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+        places = self.work.table(salted.unionByName(hubs), f"{name}_places")
+        wanted = self.work.table(places.select("class").distinct().join(self.classes, "class").select("key"), f"{name}_wanted")
+        sets = self.docs.join(self._small(wanted), "key", "left_semi").select("text").mapInArrow(tidy(_sets), "class long, tokens binary")
+        dealt = sets.join(self._small(places), "class").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
         return self.work.table(dealt.mapInArrow(_verify(self.percent), "a long, b long"), name)
 
     def _with_component(self, members: DataFrame) -> DataFrame:
@@ -456,40 +474,57 @@ class JaccardJoin:
         self.work.drop("met", "members", "open0", "open", "gathered", "maps0", "sizes0", "prefixes")
         return self
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, one row per row of the documents."""
-        named = self.classes.join(self.roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
-        named = self.work.table(named, "named")
-        least = self.work.table(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    def placed(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, key, keeper: a row per row of the documents.
+
+        ``keeper`` is the key of the component's row of the smallest doc_id
+        (then key); it is null for rows without words, which are in no group.
+        """
+        named = self.classes.join(self.roots.select(F.col("node").alias("class"), "root"), "class", "left")
+        named = self.work.table(named.select("class", "rep", "key", F.coalesce("root", "class").alias("root")), "named")
+        first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key")).alias("first")
+        least = named.groupBy("root").agg(first).select("root", F.col("first.rep").alias("component_id"), F.col("first.key").alias("keeper"))
+        least = self.work.table(least, "least")
         heavy = self.work.table(heavy_keys(named, ["root"]), "heavy_roots")
-        ids = self.work.table(lookup_join(named.select("class", "root"), least, ["root"], heavy).select("class", "component_id"), "ids")
-        filled = lookup_join(self.members.where("n > 0"), ids, ["class"], self.heavy).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        empty = self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        ids = lookup_join(named.select("class", "root"), least, ["root"], heavy).select("class", "component_id", "keeper")
+        ids = self.work.table(ids, "ids")
+        filled = lookup_join(self.members.where("n > 0"), ids, ["class"], self.heavy)
+        filled = filled.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "keeper")
+        empty = self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key", F.lit(None).cast("long").alias("keeper"))
         return filled.unionByName(empty)
 
+    def components(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, one row per row of the documents."""
+        return self.placed().select("doc_id", "n_shingles", "component_id")
+
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of ``docs`` (doc_id, text) by exact linkage at ``percent``.
 
     Null and word-less texts have the empty set, link with nothing and are
     their own component.  Repeated rows keep a row each; equal sets are one
-    class.  A null doc_id never names a component unless it stands alone.
-    Other columns are not read.  An empty table gives an empty result.
+    class.  Rows that share a doc_id, or have none, are linked by their texts
+    like any others.  A null doc_id never names a component unless no row of it
+    has an id.  Other columns are not read.  An empty table gives an empty
+    result.
     """
     return JaccardJoin(docs, percent).run().components()
 
 
 def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each component of ``docs``, that of the smallest doc_id, all columns as they are.
+    """One row of each group of linked rows of ``docs``, that of the smallest doc_id, all columns as they are.
 
-    Documents without words stay, each by itself.  Of rows that repeat both
-    doc_id and text one stays.
+    Null ids come last; of rows with one doc_id that of the smaller row key
+    stays, and one of rows that repeat doc_id and text.  Rows without words
+    link with nothing and all stay, repeated or not.  No other row is touched,
+    whatever ids it shares.
     """
-    found = jaccard_components(docs, percent)
-    work = Workspace(docs.sparkSession, "representatives")
-    found = work.table(found, "found")
-    gone = work.table(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    repeated = not found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(small, docs["doc_id"].cast("long").eqNullSafe(small["gone"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    join = JaccardJoin(docs, percent).run()
+    found = join.work.table(join.placed().where("keeper is not null").select("key", "keeper"), "found")
+    gone = join.work.table(found.where("key <> keeper").select(F.col("key").alias(KEY)).distinct(), "gone")
+    twins = join.work.table(found.where("key = keeper").groupBy(F.col("key").alias(KEY)).count().where("count > 1").select(KEY), "twins")
+    keyed = docs.withColumn(KEY, row_key(docs)).join(join._small(gone), KEY, "left_anti")
+    if not twins.isEmpty():
+        few = join._small(twins)
+        keyed = keyed.join(few, KEY, "left_anti").unionByName(keyed.join(few, KEY, "left_semi").dropDuplicates([KEY]))
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns])

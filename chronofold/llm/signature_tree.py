@@ -118,8 +118,8 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, si
     """Index pairs of sets of different groups that may link, and the largest Jaccard similarity their bitmaps allow.
 
     ``side`` 0 and 1 asks for pairs across the two sides only; all 0 for pairs
-    within.  Sets are split by bitmap width; linked sizes differ by at most a
-    third, so only equal or neighbouring widths meet, folded to the smaller.
+    within.  Sets are split by bitmap width; widths meet, folded to the smaller,
+    if sizes that differ by no more than ``percent`` allows can have them.
     """
     widths = np.array([len(m) for m in maps])
     order = np.lexsort((np.arange(len(sizes)), sizes))
@@ -136,10 +136,11 @@ def candidate_pairs(sizes: np.ndarray, maps: list[bytes], groups: np.ndarray, si
         return Tree(fold(stacked, width), sizes[at], groups[at])
 
     two = len(np.unique(side)) > 1
+    apart = 1 << max(1, (-(-100 // percent) - 1).bit_length())  # a width doubles with the size
     for (w1, s1), a in classes.items():
         for (w2, s2), b in classes.items():
             same = (w1, s1) == (w2, s2)
-            if w2 not in (w1, 2 * w1) or (two and s1 == s2) or (not two and s1 != s2) or (two and w1 == w2 and s1 > s2):
+            if not w1 <= w2 <= apart * w1 or (two and s1 == s2) or (not two and s1 != s2) or (two and w1 == w2 and s1 > s2):
                 continue
             x = tree(a, w1)
             y = x if same else tree(b, w1)
