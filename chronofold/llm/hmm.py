@@ -49,18 +49,17 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-CODED = "chunk long, doc_id long, held boolean, bucket int, hashes binary, data binary"
+CODED = "chunk long, doc_id long, held boolean, hashes binary, data binary"
 
 
-def _code(buckets: int, chunk_bytes: int):
-    """Per document its words as places in the chunk's dictionary; per chunk and hash range the dictionary and its training counts."""
+def _code(chunk_bytes: int):
+    """Per document its words as places in the chunk's dictionary; per chunk the dictionary, by hash, and its training counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, seq = TaskContext.get().partitionId() << 24, 0
         names = [f.split()[0] for f in CODED.split(", ")]
-        width = (1 << 64) // buckets + 1
 
         def emit(parts: list) -> Iterator[pa.RecordBatch]:
             nonlocal seq
@@ -72,14 +71,11 @@ def _code(buckets: int, chunk_bytes: int):
             known, place = np.unique(hashes, return_inverse=True)
             chunk = np.full(n, base + seq)
             seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, pa.array(held), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), packed(place.astype(np.int32), np.cumsum(counts))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), ids, pa.array(held), pa.nulls(n, pa.binary()), packed(place.astype(np.int32), np.cumsum(counts))], names=names)
             if len(known):
                 learnt = np.bincount(place, np.repeat(~held, counts), len(known)).astype(np.int64)
-                bucket = np.array([int(h) // width for h in known[[0, -1]]])
-                ends = np.searchsorted(known, np.array([b * width for b in range(int(bucket[0]) + 1, int(bucket[1]) + 1)], np.uint64))
-                ends = np.append(ends, len(known))
-                m = len(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[:1].repeat(m)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(np.arange(bucket[0], bucket[1] + 1, dtype=np.int32)), packed(known, ends), packed(learnt, ends)], names=names)
+                whole = np.array([len(known)])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[:1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), packed(known, whole), packed(learnt, whole)], names=names)
 
         parts, size = [], 0
         for batch in batches:
@@ -103,6 +99,26 @@ def _code(buckets: int, chunk_bytes: int):
     return rows
 
 
+def _slice(buckets: int):
+    """Dictionaries cut at the borders of ``buckets`` equal hash ranges."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-(1 << 64) // buckets)
+        for batch in batches:
+            raw, at = binary_parts(batch.column("hashes"))
+            hashes, counts = raw.view(np.uint64), binary_parts(batch.column("data"))[0].view(np.int64)
+            for chunk, low, high in zip(batch.column("chunk").to_pylist(), at[:-1] // 8, at[1:] // 8, strict=True):
+                known = hashes[low:high]
+                first, last = int(known[0]) // width, int(known[-1]) // width
+                ends = np.append(np.searchsorted(known, np.array([b * width for b in range(first + 1, last + 1)], np.uint64)), len(known))
+                which = np.arange(first, last + 1, dtype=np.int32)
+                filled = np.diff(ends, prepend=0) > 0
+                ends, which = ends[filled], which[filled]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), chunk)), pa.array(which), packed(known, ends), packed(counts[low:high], ends)], names=["chunk", "bucket", "hashes", "data"])
+
+    return rows
+
+
 def _count(top: int):
     """Training counts of each dictionary slice's words over all chunks; per task its totals and most frequent words."""
 
@@ -207,6 +223,10 @@ class Chain:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit.T)  # emit: symbol by state
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a worker builds the chain from: broadcasts hold plain arrays, as workers may lack this repository."""
+        return self.start, self.move, self.emit.T
+
     @classmethod
     def initial(cls, share: np.ndarray, states: int, seed: int = 11) -> Chain:
         """Emissions near the symbols' shares, each state tilted by its own noise; sticky transitions."""
@@ -307,7 +327,7 @@ def _join(held: list[pa.RecordBatch]) -> tuple:
 
 def _expectation(chain):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = chain.value, None
+        model, total = Chain(*chain.value), None
         for _, symbols, ends in _texts(batches):
             starts, moves, emits, value = model.expect(symbols, ends)
             flat = np.concatenate([starts, moves.ravel(), emits.ravel(), [value]])
@@ -321,8 +341,9 @@ def _expectation(chain):
 
 def _score(chain):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Chain(*chain.value)
         for held, symbols, ends in _texts(batches):
-            value, done = chain.value.likelihood(symbols, ends), 0
+            value, done = model.likelihood(symbols, ends), 0
             for b in held:
                 columns = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
                 score = value[done : done + b.num_rows] + b.column("rare_score").to_numpy()
@@ -340,11 +361,13 @@ class HiddenMarkovModel:
             raise ValueError("states, vocabulary or passes out of range")
         spark = docs.sparkSession
         self.work, context = Workspace(spark, "hmm"), spark.sparkContext
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-        coded = self.work.table(rows.mapInArrow(tidy(_code(parts, chunk_bytes)), CODED), "coded")
-        texts, slices = coded.where("bucket is null"), coded.where("bucket is not null")
-        counted = slices.select("chunk", "bucket", "hashes", "data").repartitionById(parts, "bucket")
+        coded = self.work.table(rows.mapInArrow(tidy(_code(chunk_bytes)), CODED), "coded")
+        texts, dictionaries = coded.where("hashes is null"), coded.where("hashes is not null")
+        entries = dictionaries.agg(F.sum(F.octet_length("hashes") / 8)).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / BUCKET))  # so a task's share does not grow
+        slices = dictionaries.select("chunk", "hashes", "data").mapInArrow(tidy(_slice(buckets)), "chunk long, bucket int, hashes binary, data binary")
+        counted = slices.repartitionById(buckets, "bucket")
         counted = self.work.table(counted.mapInArrow(tidy(_count(vocabulary)), "kind byte, chunk long, bucket int, hashes binary, data binary, hash long, n long"), "counted")
         top = counted.where("kind = 1").orderBy(F.desc("n"), "hash").limit(vocabulary).select("hash", "n").toPandas()  # vocabulary rows
         types, word_tokens = counted.where("kind = 2").agg(F.coalesce(F.sum("hash"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -367,7 +390,7 @@ class HiddenMarkovModel:
 
     def _improve(self, context, states: int) -> None:
         """One Baum-Welch pass: expected counts of each task, summed by Spark; a fixed number of sums comes back."""
-        shared = context.broadcast(self.chain)
+        shared = context.broadcast(self.chain.arrays())
         found = self.sequences.where("not held_out").select("symbols").mapInArrow(tidy(_expectation(shared)), "place int, value double")
         sums = found.groupBy("place").agg(F.sum("value").alias("value")).toPandas()
         flat = np.zeros(states + states * states + states * len(self.share) + 1)
@@ -377,16 +400,21 @@ class HiddenMarkovModel:
         self.chain = self.chain.improved(flat[:states], flat[states : states + states * states].reshape(states, states), emits, self.share)
 
     def scores(self) -> DataFrame:
-        out = self.sequences.mapInArrow(tidy(_score(self.sequences.sparkSession.sparkContext.broadcast(self.chain))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        return out.withColumn("train_tokens", F.lit(int(self.stats["tokens"])).cast("long"))
+        """The scored documents, written as a table; without training documents there is no model and every score is 0."""
+        shared = self.sequences.sparkSession.sparkContext.broadcast(self.chain.arrays())
+        out = self.sequences.mapInArrow(tidy(_score(shared)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        if not self.stats["documents"]:
+            out = out.withColumn("score", F.lit(0.0))
+        return self.work.table(out.withColumn("train_tokens", F.lit(int(self.stats["tokens"])).cast("long")), "scores")
 
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     Null and empty texts consist of the end alone.  Unseen words share one
-    add-one count.  With nothing to learn from every score is 0.  Repeated rows
-    keep a row each; other columns are not read; an empty table gives an empty
-    result.
+    add-one count.  With no training document (an empty table, or all held out)
+    every score and base score is 0.  A null doc_id is learnt from and scored
+    like any other.  Repeated rows keep a row each; other columns are not read;
+    an empty table gives an empty result.
     """
     return HiddenMarkovModel(docs, **options).scores().select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
