@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch while a table is written: whole texts make large rows.
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Rows and bytes of an Arrow batch while results of Python kernels are written: whole texts make large rows.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,28 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL['dir']}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches keep to BATCH_LIMITS: the one rule for all kernels, held wherever their results are written."""
+    usual = {k: spark.conf.get(k, None) for k in BATCH_LIMITS}
+    for k, limit in BATCH_LIMITS.items():
+        now = int(usual[k].rstrip("bB")) if usual[k] and usual[k].rstrip("bB").lstrip("-").isdigit() else -1
+        spark.conf.set(k, str(min(now, limit) if now > 0 else limit))
+    try:
+        yield
+    finally:
+        for k, value in usual.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
 class Workspace:
     """Tables and files of one operator call, below the shared folder.
 
     A written table cuts lineage: later stages reread it, so a lost executor
-    never forces more than the current stage to run again.
+    never forces more than the current stage to run again.  Workspaces live as
+    long as results may be read from them: until the :func:`scratch` block they
+    were made in ends, else until the driver program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _OPEN:
+            atexit.register(_remove, _OPEN)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        conf = self.spark.conf
-        usual = conf.get(BATCH_CONF)
-        conf.set(BATCH_CONF, str(min(int(usual), BATCH_ROWS)) if int(usual) > 0 else str(BATCH_ROWS))
-        try:
+        with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            conf.set(BATCH_CONF, usual)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -67,6 +83,30 @@ class Workspace:
             path = hadoop(self.path(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Remove all of it."""
+        self.drop("")
+
+
+def _remove(spaces: list[Workspace]) -> None:
+    while spaces:
+        try:
+            spaces.pop().close()
+        except Exception:  # the session, or the gateway to it, has ended: nothing can be removed from here
+            return
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Workspaces made within are removed at the end, so write what has to stay elsewhere before."""
+    before = list(_OPEN)
+    try:
+        yield
+    finally:
+        made = [w for w in _OPEN if w not in before]
+        _OPEN[:] = before
+        _remove(made)
+
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], fraction: float = 1 / 1000) -> DataFrame:
     """Keys that hold at least ``fraction`` of the rows (so at most ``1/fraction`` keys),
@@ -81,7 +121,7 @@ def lookup_join(left: DataFrame, table: DataFrame, keys: Sequence[str], heavy: D
 
     ``heavy`` (from :func:`heavy_keys`, a bounded number of keys) splits the
     left rows: rows of hot keys meet a broadcast of just those table rows, all
-    other rows are shuffled as usual.
+    other rows are shuffled as usual.  Keys must not be null.
     """
     keys = list(keys)
     mark = F.broadcast(heavy.select(*keys).withColumn("__hot", F.lit(True)))

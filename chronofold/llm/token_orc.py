@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Workspace
+from .common import Workspace, small_batches
 from .textops import base_powers, mix, utf8_parts
 from .workers import process_cache, tidy
 
@@ -49,7 +49,8 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer always starts a new word at a space that
     stands alone before a non-space, so the ids of a text are the ids of its
-    pieces cut there; texts with other spaces are encoded whole.  Pieces are
+    pieces cut there; texts with other spaces, or with the string of an added
+    token of the file, are encoded whole, as the library does.  Pieces are
     known by a 64-bit hash of their bytes in an open-addressing table.  New
     pieces are encoded joined, some thousands at a time; the byte lengths of
     the vocabulary's entries tell where each piece ends.
@@ -62,8 +63,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings within a text are ordinary text
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.joined = 1 if any(b" " in a for a in self.added) else self.JOINED  # joined pieces must not form one
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for word, i in vocabulary.items():
@@ -107,7 +110,7 @@ class PieceEncoder:
         order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
         hashes, begin, length = hashes[order], begin[order], length[order]
         n_spaced = int(spaced.sum())
-        groups = [(i, min(i + self.JOINED, n_spaced)) for i in range(0, n_spaced, self.JOINED)] + [(i, i + 1) for i in range(n_spaced, len(begin))]
+        groups = [(i, min(i + self.joined, n_spaced)) for i in range(0, n_spaced, self.joined)] + [(i, i + 1) for i in range(n_spaced, len(begin))]
         texts = [raw[spans_of(begin[a:b], length[a:b])].tobytes().decode() for a, b in groups]
         found = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(found)
@@ -124,6 +127,16 @@ class PieceEncoder:
         self.starts[self.known + 1 : self.known + 1 + len(begin)] = used + at + 1
         self._insert(hashes)
 
+    def _held(self, raw: np.ndarray) -> np.ndarray:
+        """Places in ``raw`` where the string of an added token begins."""
+        whole, found = raw.tobytes(), []
+        for content in self.added:
+            at = whole.find(content)
+            while at >= 0:
+                found.append(at)
+                at = whole.find(content, at + 1)
+        return np.array(found, np.int64)
+
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text (bytes starts[i] to ends[i] of ``raw``)."""
         if self.known > REMEMBERED:
@@ -143,7 +156,8 @@ class PieceEncoder:
         begin, owner, last = begin[inside], owner[inside], last[inside]
         stop = np.minimum(np.append(begin[1:], len(raw)), last)
         at = np.flatnonzero(raw[begin] == 32)
-        odd = np.unique(owner[at[_odd_spaces(raw, begin[at], last[at] - 1)]])
+        special = np.searchsorted(starts[filled], self._held(raw), "right") - 1
+        odd = np.unique(np.concatenate([owner[at[_odd_spaces(raw, begin[at], last[at] - 1)]], special[special >= 0]]))
         total = np.empty(len(raw) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[raw] * base_powers(len(raw)), out=total[1:])
@@ -232,7 +246,8 @@ class TokenStore:
         dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
         tokens = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, end_id)), STORED)
         options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(row_stride), "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true"}
-        tokens.write.mode("overwrite").options(**options).orc(path)
+        with small_batches(docs.sparkSession):
+            tokens.write.mode("overwrite").options(**options).orc(path)
         return cls(docs.sparkSession, path)
 
     def read(self) -> DataFrame:

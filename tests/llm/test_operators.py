@@ -175,9 +175,8 @@ def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows, frame = docs
-    odd = ["a  b", " x\n y ", "x \nb", "it's 1 2's", "中文 字", "a\0 b", "z　y", "<|endoftext|> a", "a\n \nb"]
+    odd = ["a  b", " x\n y ", "x \nb", "it's 1 2's", "中文 字", "a\0 b", "z　y", "<|endoftext|> a", "a\n \nb", "a <|endoftext|>", "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|endoftext", "|>"]
     extra = spark.createDataFrame([(1000 + i, x) for i, x in enumerate(odd)] + [(5, "again"), (5, "again")], "doc_id long, text string")
     both = frame.select("doc_id", "text").union(extra)
     got = token_orc.token_digest(both, partitions=3).orderBy("start").collect()
@@ -192,6 +191,42 @@ def test_token_files(spark, docs, none):
     work = Workspace(spark, "tokens")
     store = token_orc.TokenStore.write(both, work.path("orc"), partitions=3)
     assert store.lookup([7]).first().n_tokens == len(t.encode(rows[7][1] or "").ids) + 1 and store.lookup([-1]).count() == 0
+    wide = both.select("*", *[F.lit(c).alias(c) for c in [*CLASH, "ids", "local_start", "ids_crc32", "n_tokens"]])
+    assert sorted(map(tuple, token_orc.token_digest(wide, partitions=3).collect())) == sorted(map(tuple, got))
+
+
+def scans(plan):
+    """Rows that the file scans of an executed plan gave."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return scans(plan.executedPlan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if name == "FileSourceScanExec" else []
+    return own + [n for i in range(plan.children().size()) for n in scans(plan.children().apply(i))]
+
+
+def test_token_file_metadata_prunes(spark):
+    """Several stripes with row indexes and Bloom filters on doc_id; a lookup reads the row groups it needs."""
+    docs = spark.range(24000).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    path = Workspace(spark, "tokens").path("orc")
+    store = token_orc.TokenStore.write(docs, path, partitions=2, row_stride=1000, stripe_bytes=128 << 10)
+    orc, conf = spark._jvm.org.apache.orc.OrcFile, spark._jsc.hadoopConfiguration()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    stripes = 0
+    for file in files:
+        reader = orc.createReader(file, orc.readerOptions(conf))
+        rows = reader.rows()
+        assert reader.getRowIndexStride() == 1000
+        for stripe in reader.getStripes():
+            stripes += 1
+            kinds = {(s.getKind().toString(), s.getColumn()) for s in rows.readStripeFooter(stripe).getStreamsList()}
+            assert ("BLOOM_FILTER_UTF8", 1) in kinds and {("ROW_INDEX", c) for c in range(7)} <= kinds
+        rows.close()
+    assert len(files) == 2 and stripes > 2
+    for asked, held in (([30000], 1), ([30001], 0), ([-5], 0)):
+        found = store.lookup(asked)
+        assert len(found.collect()) == held
+        assert sum(scans(found._jdf.queryExecution().executedPlan())) <= 1000 * held  # 30001 is within a range, so the Bloom filter tells
 
 
 # 3 Sharding
@@ -402,24 +437,42 @@ def test_mtree(spark):
     centres = rng.normal(size=(8, 6))
     rows = [(i, (centres[i % 8] + 0.1 * rng.normal(size=6)).tolist()) for i in range(700)]
     rows += [(700, rows[0][1]), (701, rows[0][1]), (702, [0.0] * 6), (703, None), (704, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (705, [float("nan")] * 6), (706, [float("inf")] * 6), (707, [1e9] * 6), (750, [1.0, 2.0]), (800, [2.0, 1.0]), (None, [1.0] * 6), (850, []), (701, rows[0][1])]
+    rows += [(50, rows[50][1]), (50, rows[0][1]), (50, [9000.0] * 6), (None, rows[0][1]), (None, rows[0][1]), (None, None)]  # ids repeated and missing
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    ok = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and max(np.abs(v)) < 8000]
-    want = {}
-    for q, x in ok:
-        if q % 50 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in ok if i != q and len(y) == len(x)))[:5]
-            want.update({(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)})
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.embedding_top_k(frame).collect()}
-    assert got == want
-    vectors = mtree.integer_vectors(frame)
-    again = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, block=4).collect()}
-    assert again == want
-    assert mtree.embedding_top_k(frame.limit(0)).count() == 0
-    points = np.floor(256 * (centres[rng.integers(8, size=20_000)] + 0.02 * rng.normal(size=(20_000, 6))))
-    tree = mtree.MTree(points, np.arange(20_000))
-    heap: list = []
-    tree.search(points[0], 0, 5, heap)
-    assert tree.computed < 10_000  # bounds spare most of the rows
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
+    want = Counter()
+    for a, (q, x) in enumerate(ok):
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), i is None, i or 0) for b, (i, y) in enumerate(ok) if b != a and len(y) == len(x))[:5]
+            want.update((q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(best))
+    wide = frame.select("*", *[F.lit(c).alias(c) for c in [*CLASH, "v", "asked", "query_id", "rank"] if c != "v"])
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.embedding_top_k(wide).collect()) == want
+    again = mtree.top_k(mtree.integer_vectors(frame), "vec_id % 50 = 0", 5, block=30)
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in again.collect()) == want
+    assert mtree.embedding_top_k(frame.limit(0)).count() == 0 and mtree.embedding_top_k(frame.where("vec_id = 50").limit(1)).count() == 0
+
+
+def test_mtree_bounds_spare_distances():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 6))
+    points = np.floor(256 * (centres[rng.integers(40, size=20_000)] + 0.02 * rng.normal(size=(20_000, 6))))
+    keys = np.arange(20_000)
+    tree = mtree.MTree.unpacked(mtree.MTree(mtree.Rows(points, keys, np.zeros(20_000, bool), keys)).packed())
+    asked = np.arange(0, 20_000, 1000)
+    heaps: list = [[] for _ in asked]
+    tree.search(points[asked], asked, 5, heaps)
+    assert tree.computed < 0.5 * 20_000 * len(asked) and tree.spared > 0
+    for q, heap in zip(asked, heaps, strict=True):
+        scores = points @ points[q]
+        best = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if i != q))[:5]
+        assert [(-s, -t) for s, t, _ in sorted(heap, reverse=True)] == best
+    inner = [n for n in tree.nodes if len(n) == 4 and n[2] is not None]
+    assert inner  # inner nodes hold their pivots' distances to their own pivot
+    with_parents = tree.computed
+    tree.nodes = [(n[0], n[1], None, n[3]) if len(n) == 4 else n for n in tree.nodes]
+    tree._reset()
+    tree.search(points[asked], asked, 5, [[] for _ in asked])
+    assert tree.computed > with_parents  # which spares computations
 
 
 # 8 Chat
