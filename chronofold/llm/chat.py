@@ -43,21 +43,25 @@ def turn_text(role: Column, text: Column) -> Column:
 def format_windows(rows: DataFrame, budget: int = 1024, history: int = 192, target_role: str = "assistant") -> DataFrame:
     """Windows of whole turns: conv_id, window_no, formatted, loss_spans, n_repeated, n_tokens.
 
-    ``rows`` has conv_id, turn, role, text.  Turns are ordered by (turn, role,
-    text), so ties and repeated rows keep a defined place; null roles and texts
-    count as empty; rows of a null conv_id form one conversation.  A turn costs
-    its white-space-separated words plus two.  Prefix sums of these costs cut
-    the turns after a leading system turn into spans: a window holds the system
-    turn, up to ``history`` tokens of the turns before its span, and the span,
-    within ``budget`` tokens (one turn that is larger alone makes its own
-    window; nothing is cut).  ``loss_spans`` are (start, length) in characters
-    of ``formatted`` over the texts of the target turns of the span only, so
-    repeated targets are masked and each is learnt once.  An empty table gives
-    no windows.
+    ``rows`` has conv_id, turn, role, text; other columns are not read.  Turns
+    are ordered by (turn, role, text), so ties and repeated rows keep a defined
+    place; null roles and texts count as empty; rows of a null conv_id form one
+    conversation.  A turn costs its white-space-separated words plus two.
+    Prefix sums of these costs cut the turns after a leading system turn into
+    spans: a window holds the system turn, up to ``history`` tokens of the turns
+    before its span, and the span.  No turn is cut.  A window has at most
+    ``budget`` tokens, unless the system turn and one turn of its own are larger
+    together: then it holds just these two (or that one, without a system turn).
+    ``loss_spans`` are (start, length) in characters of ``formatted`` over the
+    texts of the target turns of the span only, so repeated targets are masked
+    and each is learnt once.  An empty table gives no windows.
+
+    A conversation's turns are gathered in one row while its spans are chosen,
+    so it has to fit in a row; each window then carries its own turns only.
     """
     if budget < 1 or history < 0:
         raise ValueError("budget must be positive and history not negative")
-    cost = F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("long") + 2
+    cost = F.regexp_count("text", F.lit(r"\S+")).cast("long") + 2
     base = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tok", cost)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     item = F.struct(F.col("i"), F.col("cum"), F.col("tok"), F.col("role"), F.col("text"))
@@ -69,25 +73,40 @@ def format_windows(rows: DataFrame, budget: int = 1024, history: int = 192, targ
     )
     first = F.struct(F.array(F.col("n_sys")).alias("starts"), F.col("sys_tok").alias("before"))
 
+    free = F.greatest(F.lit(budget).cast("long") - F.col("sys_tok"), F.lit(0).cast("long"))
+    reserve = F.least(F.lit(history).cast("long"), F.floor(free / 2))  # kept free for history after the first span
+
     def step(acc: Column, x: Column) -> Column:
-        room = F.lit(budget).cast("long") - F.col("sys_tok") - F.when(F.size(acc["starts"]) > 1, F.lit(history)).otherwise(F.lit(0))
+        room = F.col("free") - F.when(F.size(acc["starts"]) > 1, F.col("reserve")).otherwise(F.lit(0))
         start = x["cum"] - x["tok"]
         cut = (x["i"] > F.col("n_sys")) & (x["cum"] - acc["before"] > room) & (start > acc["before"])
         return F.struct(F.when(cut, F.array_append(acc["starts"], x["i"])).otherwise(acc["starts"]).alias("starts"), F.when(cut, start).otherwise(acc["before"]).alias("before"))
 
     body = F.slice("turns", F.col("n_sys") + 1, F.greatest(F.size("turns") - F.col("n_sys"), F.lit(0)))
-    spans = convs.withColumn("starts", F.aggregate(body, first, step)["starts"])
+    spans = convs.withColumns({"free": free, "reserve": reserve}).withColumn("starts", F.aggregate(body, first, step)["starts"])
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("turns")))
-    spans = spans.select("conv_id", "turns", "n_sys", "sys_tok", F.posexplode(F.arrays_zip(F.col("starts").alias("s"), ends.alias("e"))).alias("window_no", "span"))
-    spans = spans.select("conv_id", "turns", "n_sys", "sys_tok", "window_no", F.col("span.s").alias("s"), F.col("span.e").alias("e"))
-    at = F.get("turns", F.col("s"))
-    at = F.coalesce(at["cum"] - at["tok"], F.col("sys_tok"))  # tokens before the span
-    own = F.coalesce(F.get("turns", F.col("e") - 1)["cum"], F.col("sys_tok")) - at
-    room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("sys_tok") - own)  # a large span takes the history's place
-    held = F.filter(F.slice("turns", F.col("n_sys") + 1, F.greatest(F.col("s") - F.col("n_sys"), F.lit(0))), lambda x: at - (x["cum"] - x["tok"]) <= room)
-    spans = spans.withColumn("n_hist", F.size(held))
-    kept = F.concat(F.slice("turns", F.lit(1), F.col("n_sys")), F.slice("turns", F.col("s") - F.col("n_hist") + 1, F.col("e") - F.col("s") + F.col("n_hist")))
-    spans = spans.select("conv_id", "window_no", "s", kept.alias("kept"), (F.when(F.col("window_no") > 0, F.col("n_sys")).otherwise(F.lit(0)) + F.col("n_hist")).alias("n_repeated"))
+
+    def place(x: Column, no: Column) -> Column:
+        """A span with its tokens before and the room it leaves for history."""
+        turn = F.get("turns", x["s"])
+        at = F.coalesce(turn["cum"] - turn["tok"], F.col("sys_tok"))
+        own = F.coalesce(F.get("turns", x["e"] - 1)["cum"], F.col("sys_tok")) - at
+        return F.struct(no.alias("no"), x["s"].alias("s"), x["e"].alias("e"), at.alias("at"), F.least(F.lit(history).cast("long"), F.col("free") - own).alias("room"))
+
+    def recall(x: Column) -> Column:
+        """How many turns before the span its room holds; a turn costs two tokens or more."""
+        most = F.least(F.lit(history // 2), x["s"] - F.col("n_sys"))
+        held = F.filter(F.slice("turns", x["s"] - most + 1, most), lambda t: x["at"] - (t["cum"] - t["tok"]) <= x["room"])
+        return F.struct(x["no"].alias("no"), x["s"].alias("s"), x["e"].alias("e"), F.size(held).alias("n_hist"))
+
+    def gather(x: Column) -> Column:
+        """The window's own turns, so that no window carries the whole conversation."""
+        kept = F.concat(F.slice("turns", F.lit(1), F.col("n_sys")), F.slice("turns", x["s"] - x["n_hist"] + 1, x["e"] - x["s"] + x["n_hist"]))
+        return F.struct(x["no"].alias("window_no"), x["s"].alias("s"), x["n_hist"].alias("n_hist"), kept.alias("kept"))
+
+    placed = F.transform(F.arrays_zip(F.col("starts").alias("s"), ends.alias("e")), place)
+    spans = spans.select("conv_id", "n_sys", F.explode(F.transform(F.transform(placed, recall), gather)).alias("w"))
+    spans = spans.select("conv_id", "w.window_no", "w.s", "w.kept", (F.when(F.col("w.window_no") > 0, F.col("n_sys")).otherwise(F.lit(0)) + F.col("w.n_hist")).alias("n_repeated"))
     pieces = F.transform("kept", lambda x: F.struct(((x["role"] == target_role) & (x["i"] >= F.col("s"))).alias("loss"), escape(x["role"]).alias("role"), escape(x["text"]).alias("text"), x["tok"].alias("tok")))
     spans = spans.select("conv_id", "window_no", "n_repeated", pieces.alias("p"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
