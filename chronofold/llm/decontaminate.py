@@ -5,7 +5,8 @@ edits of a segment of m characters shares at least m - q + 1 - k*q of its
 q-grams, on diagonals (text position less segment position) no more than k
 apart.  So windows of text with too few known q-grams are skipped; in the rest
 shared q-grams are counted per overlapping diagonal band; bands that reach the
-bound are verified by banded alignment.
+bound are verified by banded alignment.  Items shorter than a q-gram are held by
+texts that have them word for word.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Workspace
 from .textops import mix, utf8_parts
 from .workers import process_cache, tidy
 
@@ -62,7 +64,7 @@ def qgrams(text: np.ndarray) -> np.ndarray:
 
 
 def segments_of(length: int) -> list[tuple[int, int]]:
-    """Segments of an item: all of it if it is short, and parts at a stride; items without a q-gram have none.
+    """Segments of an item: all of it if it is short, and parts at a stride; items without a q-gram are matched as words instead.
 
     A part may begin at every tenth character, so an excerpt is found by its
     length wherever it begins.  The last parts are counted from the end too:
@@ -83,15 +85,24 @@ class QGramIndex:
     def __init__(self, items: list[tuple[int, str]]):
         raw, starts, ends = utf8_parts(pa.array([t for _, t in items], pa.string()))
         text, starts, ends = normalise(raw, starts, ends) if len(raw) else (np.zeros(0, np.uint8), starts, ends)
-        self.item, patterns = [], []
+        self.item, self.short, patterns = [], [], []
         for (item, _), a, b in zip(items, starts, ends, strict=True):
             while a < b and text[a] == 32:
                 a += 1
             while a < b and text[b - 1] == 32:
                 b -= 1
+            if 0 < b - a < Q:
+                self.short.append((item, bytes(text[a:b])))
             for x, y in segments_of(int(b - a)):
                 self.item.append(item)
                 patterns.append(text[a + x : a + y])
+        # Short items by length: their numbers, and their characters in two integers, sorted by the first.
+        self.by_length = {}
+        for n in range(1, Q):
+            number = np.array([k for k, (_, word) in enumerate(self.short) if len(word) == n], np.int64)
+            whole = np.frombuffer(b"".join(self.short[k][1].ljust(16, b"\0") for k in number), "<u8").reshape(-1, 2)
+            by = np.argsort(whole[:, 0], kind="stable")
+            self.by_length[n] = (number[by], whole[by, 0], whole[by, 1])
         self.length = np.array([len(p) for p in patterns], np.int64)
         self.budget = np.minimum((self.length * EDITS).astype(np.int64), np.maximum(0, (self.length - Q) // Q))
         self.bound = self.length - Q + 1 - self.budget * Q
@@ -142,6 +153,42 @@ class QGramIndex:
         kept = np.cumsum(reach[:-1]) > 0
         return at[kept], place[kept]
 
+    def words(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+        """Places of the short items as whole words of the normalised text; ``seg`` is the place in ``short``."""
+        out: list[tuple[np.ndarray, ...]] = []
+        if self.short and len(text):
+            inner = text != 32
+            begins = inner.copy()
+            begins[1:] &= ~inner[:-1]
+            first = starts[starts < len(text)]
+            begins[first] = inner[first]
+            begin = np.flatnonzero(begins)
+            owner = np.searchsorted(starts, begin, "right") - 1
+            room = ends[owner] - begin
+            eight = np.zeros(len(begin), np.uint64)
+            tail = np.zeros(len(begin), np.uint64)
+            for n in range(1, Q):  # the first n characters from each word's start, in two integers
+                letter = text[np.minimum(begin + n - 1, len(text) - 1)].astype(np.uint64)
+                if n <= 8:
+                    eight |= letter << np.uint64(8 * (n - 1))
+                else:
+                    tail |= letter << np.uint64(8 * (n - 9))
+                number, head, rest = self.by_length[n]
+                if not len(number):
+                    continue
+                stop = np.minimum(begin + n, len(text) - 1)
+                at = np.flatnonzero((room == n) | ((room > n) & ~inner[stop]))
+                low, high = np.searchsorted(head, eight[at]), np.searchsorted(head, eight[at], "right")
+                at, low, many = np.repeat(at, high - low), low, high - low
+                place = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(at))
+                same = rest[place] == tail[at]
+                at, place = at[same], place[same]
+                if len(at):
+                    begun = begin[at] - starts[owner[at]]
+                    out.append((owner[at], number[place], np.zeros(len(at), np.int64), begun, begun + n))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        return dict(zip(("text", "seg", "edits", "start", "stop"), columns, strict=True))
+
     def leaks(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """Verified regions: text number, segment, edits, start and stop within the normalised text."""
         none = {k: np.zeros(0, np.int64) for k in ("text", "seg", "edits", "start", "stop")}
@@ -219,9 +266,10 @@ def _scan(items: list[tuple[int, str]], keys: list[str], size: int = 1 << 19):
                 while j < len(starts) and ends[j] - starts[i] <= size:
                     j += 1
                 text, a, b = normalise(raw, starts[i:j], ends[i:j])
-                found = index.leaks(text, a, b) if len(index.grams) else None
-                if found is not None and len(found["text"]):
-                    item = np.array(index.item)[found["seg"]]
+                for found, items_of in ((index.leaks(text, a, b) if len(index.grams) else None, index.item), (index.words(text, a, b), [x for x, _ in index.short])):
+                    if found is None or not len(found["text"]):
+                        continue
+                    item = np.array(items_of)[found["seg"]]
                     order = np.lexsort((found["start"], found["edits"], found["seg"], item, found["text"]))
                     groups: dict[tuple[int, int], list] = {}
                     for k in order.tolist():
@@ -256,9 +304,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     A document holds an item if a region of it is within the edit budget of one
     of the item's segments; ``edits`` is the fewest, start and stop bound the
     regions in the normalised text.  A larger benchmark takes one pass over the
-    documents per block of ``block_bytes``.  Null or empty texts and items hold
-    and match nothing, nor do items of under 10 characters; repeated rows are
-    reported each; an empty benchmark or table gives an empty result.
+    documents per block of ``block_bytes``.  An item of under 10 characters is
+    held where it stands as whole words, without edits.  Null or empty texts and
+    items hold and match nothing; repeated rows are reported each; other columns
+    are not read; an empty benchmark or table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
     out = None
@@ -267,7 +316,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
         out = part if out is None else out.union(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, {LEAKS}")
-    return out
+    return Workspace(docs.sparkSession, "leaks").table(out, "found")
 
 
 def _drop(items: list[tuple[int, str]]):
