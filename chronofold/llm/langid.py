@@ -3,13 +3,15 @@
 Per language a suffix automaton of a bounded sample of labelled text is built.
 A text is parsed from left to right into longest phrases that occur in that
 sample; phrases times the bits of one pointer into the sample, per character,
-estimate the cross entropy, and the language with the fewest wins.
+estimate the cross entropy, and the language with the fewest wins.  A text that
+no sample describes in far fewer bits than random letters take is in none of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import Workspace
 from .workers import process_cache, tidy
 
-#: The bounded training sample: rows per language, characters per language, languages, distinct letters.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS, LETTERS = 24, 24_000, 256, 400
-#: Characters parsed in one go; longer texts are parsed piece by piece, all of them.
+#: The bounded training sample: rows per language, characters per language, languages.  Rarer labels are never predicted.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 24, 24_000, 256
+#: Letters of the sample up to which each has a symbol of its own; beyond, the first half has, and the others have two each.
+LETTERS = 200
+#: Characters parsed side by side; a longer text's pieces are parsed anew from where the one before ends, until both ways meet.
 PIECE = 256
+#: A text is told from chance if it takes at most CHANCE times the bits of letters at random, and SLACK phrases: a short one tells little.
+CHANCE, SLACK = 1.25, 4
 UNDETERMINED = "und"
 OUT = "lang_pred string, score double"
 
@@ -62,20 +69,39 @@ def _letters() -> np.ndarray:
 
 
 class Symbols:
-    """Small alphabet: 0 for a run of non-letters, 1.. for the letters of the sample, then one for all others, then padding."""
+    """Small alphabet: 0 for a run of non-letters, then the letters of the sample, one symbol for all others, and padding.
+
+    Alphabets of more than ``LETTERS`` letters spell the rarer ones as two
+    symbols, a high and a low digit, so that each letter still differs.
+    """
 
     def __init__(self, texts: dict[str, str]):
         counts = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        chars = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS] if len(c) == 1]
-        self.other, self.pad, self.size = len(chars) + 1, len(chars) + 2, len(chars) + 3
-        self.table = np.where(_letters(), self.other, 0).astype(np.int32)
+        chars = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if len(c) == 1]
+        direct = len(chars) if len(chars) <= LETTERS else LETTERS // 2
+        base = math.isqrt(max(0, len(chars) - direct - 1)) + 1 if len(chars) > direct else 0
+        self.other = 1 + direct + 2 * base
+        self.pad, self.size = self.other + 1, self.other + 2
+        self.first = np.where(_letters(), self.other, 0).astype(np.int32)
+        self.second = np.zeros(len(self.first) if base else 0, np.int32)
         for i, c in enumerate(chars):
-            self.table[ord(c)] = i + 1
-            if len(c.upper()) == 1:
-                self.table[ord(c.upper())] = i + 1
-
-    def of(self, points: np.ndarray) -> np.ndarray:
-        return self.table[points]
+            high, low = divmod(max(0, i - direct), base) if base else (0, 0)
+            for form in {c, c.upper()}:
+                if len(form) == 1:
+                    self.first[ord(form)] = i + 1 if i < direct else 1 + direct + high
+                    if i >= direct:
+                        self.second[ord(form)] = 1 + direct + base + low
+
+    def of(self, points: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Symbols of the characters, and ``owner`` of each."""
+        out = self.first[points]
+        if len(self.second):
+            low = self.second[points]
+            count = 1 + (low > 0)
+            out = np.repeat(out, count)
+            out[(np.cumsum(count) - 1)[low > 0]] = low[low > 0]
+            owner = None if owner is None else np.repeat(owner, count)
+        return out, owner
 
 
 def points_of(text: str) -> np.ndarray:
@@ -127,9 +153,9 @@ class CrossParser:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         self.symbols = Symbols(texts)
-        self.tables, self.columns, self.bits = [], [], []
+        self.tables, self.columns, self.bits, self.chance = [], [], [], []
         for lang in self.langs:
-            raw = self.symbols.of(points_of(texts[lang]))
+            raw, _ = self.symbols.of(points_of(texts[lang]))
             raw = raw[(raw != 0) | np.concatenate([[True], raw[:-1] != 0])] if len(raw) else raw
             # A table has columns for the symbols of its own sample only, one for all others and one for padding.
             own = np.unique(raw)
@@ -147,29 +173,67 @@ class CrossParser:
             self.tables.append(full.ravel())
             self.columns.append(column)
             self.bits.append(np.log2(max(2, len(raw))))
+            self.chance.append(np.log2(max(2, len(own))))
 
     def phrases(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Phrases of each text per language; ``symbols``: one row per piece, padded; ``owner``: its text."""
-        steps = np.ascontiguousarray(symbols.T)
+        """Phrases of each text per language; ``symbols``: one row per piece, padded; ``owner``: its text, pieces in order."""
+        goes_on = owner[1:] == owner[:-1]
+        long = np.concatenate([[False], goes_on]) | np.concatenate([goes_on, [False]])
         out = np.zeros((len(self.langs), n))
-        for k, (table, place) in enumerate(zip(self.tables, self.columns, strict=True)):
-            state = np.zeros(symbols.shape[0], np.int32)
-            count = np.zeros(symbols.shape[0], np.int32)
-            for column in steps:
-                value = table.take(state + place.take(column))
-                count += value >> 30
-                state = value & (ENDED - 1)
-            out[k] = np.bincount(owner, count, n)
+        for part, parse in ((~long, self._parse), (long, self._parse_on)):
+            if part.any():
+                steps, whose = np.ascontiguousarray(symbols[part].T), owner[part]
+                for k, (table, place) in enumerate(zip(self.tables, self.columns, strict=True)):
+                    out[k] += np.bincount(whose, parse(table, place, steps, whose), n)
         return out
 
-    def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Predicted language and score (how far the runner-up's entropy lies above, 0 to 1) of each text."""
+    @staticmethod
+    def _parse(table: np.ndarray, place: np.ndarray, steps: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Phrases of each piece by itself."""
+        state, count = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
+        for column in steps:
+            value = table.take(state + place.take(column))
+            count += value >> 30
+            state = value & (ENDED - 1)
+        return count
+
+    @staticmethod
+    def _parse_on(table: np.ndarray, place: np.ndarray, steps: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Phrases of each piece as parts of their whole texts.
+
+        All pieces are parsed from the start state at once; each is then parsed
+        anew from the state in which the one before it ends, until it comes to
+        the state it was in before, from where nothing changes.
+        """
+        states, begun = np.empty(steps.shape, np.int32), np.empty(steps.shape, bool)
+        state = np.zeros(steps.shape[1], np.int32)
+        for t, column in enumerate(steps):
+            value = table.take(state + place.take(column))
+            begun[t] = value >> 30
+            states[t] = state = value & (ENDED - 1)
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        entered = np.zeros(steps.shape[1], np.int32)
+        while True:
+            at = later[states[-1, later - 1] != entered[later]]
+            if not len(at):
+                return begun.sum(0)
+            entered[at] = state = states[-1, at - 1]
+            for t, column in enumerate(steps):
+                value = table.take(state + place.take(column[at]))
+                begun[t, at] = value >> 30
+                state = value & (ENDED - 1)
+                apart = states[t, at] != state
+                states[t, at] = state
+                at, state = at[apart], state[apart]
+                if not len(at):
+                    break
+
+    def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Predicted language, score (how far the runner-up's entropy lies above, 0 to 1), and whether it is told from chance."""
         n = len(texts)
         if not self.langs or not n:
-            return [UNDETERMINED] * n, np.zeros(n)
-        raw = self.symbols.of(points_of("".join(texts)))
-        lengths = np.fromiter(map(len, texts), np.int64, n)
-        owner = np.repeat(np.arange(n), lengths)
+            return [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
+        raw, owner = self.symbols.of(points_of("".join(texts)), np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n)))
         keep = raw != 0
         keep[1:] |= (raw[:-1] != 0) | (owner[1:] != owner[:-1])
         keep[:1] = True
@@ -181,18 +245,20 @@ class CrossParser:
         at = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         padded = np.full((max(1, int(pieces.sum())), PIECE), self.symbols.pad, np.int32)
         padded[first[owner] + at // PIECE, at % PIECE] = raw
-        bits = self.phrases(padded, np.repeat(np.arange(n), pieces) if len(raw) else np.zeros(1, np.int64), n) * np.array(self.bits)[:, None]
+        pointer = np.array(self.bits)[:, None]
+        bits = self.phrases(padded, np.repeat(np.arange(n), pieces) if len(raw) else np.zeros(1, np.int64), n) * pointer
         best = bits.argmin(0)
+        told = letters & ((bits - SLACK * pointer)[best, np.arange(n)] <= CHANCE * lengths * np.array(self.chance)[best])
         order = np.sort(bits, axis=0)
         score = 1 - order[0] / np.maximum(order[1], 1e-9) if len(self.langs) > 1 else np.ones(n)
         names = [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-        return names, np.where(letters, score, 0.0)
+        return names, np.where(letters, score, 0.0), told
 
 
-def _predict(texts: dict[str, str], keep: list[str] | None, size: int = 1_000_000):
-    """Add the prediction to the columns ``keep``; without these, keep the rows, whole, that have a language."""
+def _judge(texts: dict[str, str], size: int = 1_000_000):
+    """(batch, names, scores, told) of batches with a column ``text``."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         kept = process_cache("cross parsers")
         key = hash(tuple(texts.items()))
         if key not in kept:
@@ -201,33 +267,50 @@ def _predict(texts: dict[str, str], keep: list[str] | None, size: int = 1_000_00
         parser = kept[key]
         for batch in batches:
             held: list[str] = []
-            names: list[str] = []
-            scores: list[np.ndarray] = []
+            found: list[tuple] = []
             total = 0
-
-            def flush() -> None:
-                nonlocal held, total
-                found, score = parser.classify(held)
-                names.extend(found)
-                scores.append(score)
-                held, total = [], 0
-
             for value in batch.column("text"):
                 held.append(value.as_py() or "")
                 total += len(held[-1])
                 if total >= size:
-                    flush()
-            flush()
-            if keep is None:
-                yield batch.filter(pa.array([name != UNDETERMINED for name in names]))
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, "lang_pred", "score"])
+                    found.append(parser.classify(held))
+                    held, total = [], 0
+            found.append(parser.classify(held))
+            names, scores, told = zip(*found, strict=True)
+            yield batch, [x for part in names for x in part], np.concatenate(scores), np.concatenate(told)
+
+    return judged
+
+
+def _predict(texts: dict[str, str], keep: list[str]):
+    """The columns ``keep`` with the prediction."""
+    judged = _judge(texts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, names, scores, _ in judged(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+
+    return rows
+
+
+def _select(texts: dict[str, str], languages: frozenset[str] | None):
+    """Whole rows whose language is told and wanted, a null ``lang`` filled in."""
+    judged = _judge(texts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, names, _, told in judged(batches):
+            at = batch.schema.get_field_index("lang")
+            if at >= 0 and pa.types.is_string(batch.schema.field(at).type):
+                filled = [pred if own is None else own for own, pred in zip(batch.column(at).to_pylist(), names, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(filled, pa.string()))
+            good = [ok and (languages is None or name in languages) for ok, name in zip(told.tolist(), names, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang), written as a table.
 
     A prediction reads the text alone.  A null text, or one without a letter,
     is ``und`` with score 0; without any labelled text everything is ``und``.
@@ -237,9 +320,23 @@ def identify(docs: DataFrame) -> DataFrame:
     texts = training_texts(docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(tidy(_predict(texts, ["doc_id", "held_out"])), f"doc_id {kind}, held_out boolean, {OUT}")
+    found = rows.mapInArrow(tidy(_predict(texts, ["doc_id", "held_out"])), f"doc_id {kind}, held_out boolean, {OUT}")
+    return Workspace(docs.sparkSession, "languages").table(found, "found")
+
 
+def language_counts(identified: DataFrame) -> DataFrame:
+    """lang_pred, documents, mean_score of the result of :func:`identify`."""
+    return identified.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("documents"), F.avg("score").alias("mean_score"))
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language can be told (not ``und``)."""
-    return docs.mapInArrow(tidy(_predict(training_texts(docs), None)), docs.schema)
+
+def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` in one of ``languages`` (default: any that was learnt), all columns, a null ``lang`` filled in.
+
+    A row goes if its text is null or has no letter, if no language's sample
+    describes it in ``CHANCE`` times the bits of one letter out of its alphabet
+    after another, or less, with ``SLACK`` phrases to spare (random letters take
+    nearly twice these bits), or if its predicted language is not wanted.
+    Labels that are not null stay.  Without any labelled text every row goes.
+    """
+    wanted = None if languages is None else frozenset(languages)
+    return docs.mapInArrow(tidy(_select(training_texts(docs), wanted)), docs.schema)

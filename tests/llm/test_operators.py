@@ -506,7 +506,7 @@ def test_chat(spark):
         assert got[c].formatted_chars == sum(len(w.formatted) for w in windows[c])
         for w in windows[c]:
             inner = w.formatted.count("[/]") - (turns[0][2] == "system")
-            assert w.n_tokens <= 128 or inner == 1
+            assert w.n_tokens <= 128 or (inner == 1 and w.n_repeated <= 1)
             if turns[0][2] == "system":
                 assert w.formatted.startswith("[system]")
     assert len(windows[92]) == 1 and any(len(w) > 3 for w in windows.values())
@@ -548,7 +548,7 @@ def test_cross_parsing_against_brute_force():
         return n
 
     for text in ("the chat", "cat table mat le", "zzz the", "a"):
-        symbols = parser.symbols.of(langid.points_of(text))
+        symbols, _ = parser.symbols.of(langid.points_of(text))
         padded = np.full((1, langid.PIECE), parser.symbols.pad, np.int32)
         padded[0, : len(symbols)] = symbols
         assert parser.phrases(padded, np.zeros(1, np.int64), 1)[:, 0].tolist() == [phrases(text, texts[k]) for k in ("x", "y")]
