@@ -8,16 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import decontaminate, jaccard_join, langid, mixing, rendezvous
-from chronofold.llm.common import Workspace
+from chronofold.llm.common import Workspace, scratch
+
+#: Languages that the corpus keeps; None: every one that the labels teach.
+LANGUAGES: list[str] | None = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a language (no text, or no letter in it) go."""
-    return langid.keep_identified(docs)
+    """Language ID: documents in none of LANGUAGES go (no letter, told from no random letters, or another language); unlabelled ones get theirs."""
+    return langid.keep_identified(docs, LANGUAGES)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each linked group the document of the smallest id stays."""
+    """N-gram Jaccard join: of each linked group of rows that of the smallest id stays; ids shared or missing link nothing."""
     return jaccard_join.keep_representatives(docs)
 
 
@@ -53,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = work.table(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch():  # a stage's own tables go when its result is written
+            docs = work.table(stage(spark, docs, sf_dir), f"stage{k}")
         if k:
             work.drop(f"stage{k - 1}")
     return docs
