@@ -44,8 +44,12 @@ FREQUENT = 4096
 COMMON = 200_000
 #: Prefix shingles that linked sets share at least (small sets: all that they must share).
 SHARED = 8
-#: Shingles of least hash of the first round; sets of a block of a group (a cell compares one or two blocks); entries of one exchange partition.
-LEADING, CELL, BUCKET = 6, 2048, 2_000_000
+#: Shingles of least hash of the first round; entries of one exchange partition.
+LEADING, BUCKET = 6, 2_000_000
+#: Sets of a cell of the first round, and of a cluster that is one group; sets of a block of the second round, whose cells
+#: compare one or two; sets of a group dealt over several cells of the first round that are in each of them, so that near
+#: copies in different cells meet.
+CELL, BLOCK, ANCHORS = 8192, 2048, 8
 #: Entries of a shingle above which its group is found by partial aggregation instead of in one task.
 LARGE = 100_000
 #: Bytes (estimated as hashed in memory) up to which a counted table is broadcast; larger ones are joined by a shuffle.
@@ -407,16 +411,19 @@ class JaccardJoin:
         return self.work.table(whole.unionByName(parts), "gathered")
 
     def _cells(self, members: DataFrame, spanning: bool) -> DataFrame:
-        """Members (token, class, comp) of groups, dealt to cells of at most CELL sets or so, with size and bitmap.
+        """Members (token, class, comp) of groups, dealt to cells, with size and bitmap.
 
-        A group of more than CELL members is split by class hash into blocks;
-        each pair of blocks is a cell (with ``spanning``, each block alone).
+        A group is split by class hash into blocks.  Each pair of blocks is a
+        cell; with ``spanning``, each block of at most CELL sets or so, and a
+        few sets of the group that all of its cells share.
         """
         sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        sizes = self.work.table(sizes.select("token", F.ceil(F.col("m") / CELL).cast("int").alias("c")), f"sizes{int(spanning)}")
+        sizes = self.work.table(sizes.select("token", "m", F.ceil(F.col("m") / (CELL if spanning else BLOCK)).cast("int").alias("c")), f"sizes{int(spanning)}")
         rows = members.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("class", "token"), F.col("c")).cast("int"))
         if spanning:
-            dealt = rows.select("token", "class", "comp", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"))
+            shared = (F.col("c") > 1) & (F.pmod(F.xxhash64("token", "class"), F.col("m")) < ANCHORS)
+            at = F.when(shared, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("block"))
+            dealt = rows.select("token", "class", "comp", F.explode(at).alias("i")).select("token", "class", "comp", "i", F.col("i").alias("j"), F.lit(0).alias("side"))
         else:
             cell = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), (F.col("block") > k).cast("int").alias("side")))
             dealt = rows.select("token", "class", "comp", F.explode(cell).alias("at")).select("token", "class", "comp", "at.i", "at.j", "at.side")

@@ -295,7 +295,7 @@ def brute_components(rows):
 def test_jaccard(spark, docs, monkeypatch, tuned):
     rows, frame = docs
     if tuned:  # small cells and no broadcasts take the other ways
-        for name, value in (("CELL", 4), ("BROADCAST_BYTES", 0), ("LARGE", 2), ("COUNTED", 100), ("BUCKET", 50)):
+        for name, value in (("CELL", 4), ("BLOCK", 3), ("ANCHORS", 2), ("BROADCAST_BYTES", 0), ("LARGE", 2), ("COUNTED", 100), ("BUCKET", 50)):
             monkeypatch.setattr(jaccard_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()}
     assert got == brute_components(rows)
