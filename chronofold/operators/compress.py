@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..graph import TemporalGraph
 from . import kernels as K
-from .linalg import DRIVER_CELLS, clipped_rank, factor_frame, kept, strength_prune, subspace_svd, temporal_projection, to_array, to_tensor
+from .linalg import DRIVER_CELLS, clipped_rank, cross_gram, factor_frame, gram, kept, prepare_checkpoints, scaled, strength_prune, subspace_svd, temporal_projection, to_array, to_tensor, turned
 from .residuals import formatted, kept_residuals, residual_cells, storage_gate, threshold_row, with_bound_metadata
 from .store import FactorStore
-from .transforms import blend, mean_snapshot, random_halves, stitch, symmetric
+from .transforms import mean_snapshot, random_halves, stitch, symmetric
 
 
 @dataclass(frozen=True)
@@ -74,9 +74,14 @@ class CompressionConfig:
             raise ValueError("tensor_rank_energy must lie in (0, 1]")
 
 
+#: Keys of existing configuration files, and the options they set.
+KEYS = {"thinking_tensor_blend": "tensor_blend", "thinking_tensor_rank": "tensor_rank"}
+
+
 def config_from(mapping: Mapping[str, Any], **overrides: Any) -> CompressionConfig:
     """Configuration from a mapping, whose unknown keys are reported and ignored; unknown overrides are errors."""
     known = {f.name for f in fields(CompressionConfig)}
+    mapping = {KEYS.get(k, k): v for k, v in mapping.items()}
     if strange := sorted(set(overrides) - known):
         raise KeyError(f"unknown options: {', '.join(strange)}")
     if ignored := sorted(set(mapping) - known):
@@ -142,14 +147,19 @@ def sym_svd(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     return _from_matrix(graph, symmetric(mean_snapshot(graph.edges, graph.steps)), config)
 
 
+def _energy_kept(values: np.ndarray, config: CompressionConfig) -> np.ndarray:
+    """Indexes, in order, of the largest values that hold the wanted share of energy."""
+    order = np.argsort(-values, kind="stable")
+    share = np.cumsum(np.square(values[order])) / max(float(np.square(values).sum()), 1e-300)
+    count = max(int(np.searchsorted(share, config.tensor_rank_energy - 1e-15)) + 1, config.tensor_min_rank)
+    return np.sort(order[:count])
+
+
 def _normalised(graph: TemporalGraph, left: np.ndarray, right: np.ndarray, temporal: np.ndarray, config: CompressionConfig, **diagnostics) -> FactorStore:
     """Unit columns, products of norms as lambdas, then energy pruning with the order kept."""
     norms = [np.maximum(np.linalg.norm(x, axis=0), 1e-12) for x in (left, right, temporal)]
     values = norms[0] * norms[1] * norms[2]
-    order = np.argsort(-values, kind="stable")
-    share = np.cumsum(np.square(values[order])) / max(float(np.square(values).sum()), 1e-300)
-    count = max(int(np.searchsorted(share, config.tensor_rank_energy - 1e-15)) + 1, config.tensor_min_rank)
-    keep = np.sort(order[:count])
+    keep = _energy_kept(values, config)
     return _store(graph, (left / norms[0])[:, keep], values[keep], (right / norms[1])[:, keep], (temporal / norms[2])[:, keep], config, **diagnostics)
 
 
@@ -158,14 +168,79 @@ def _unfolding_factors(tensor: np.ndarray, rank: int) -> tuple[np.ndarray, np.nd
     return left, right, K.project(tensor, left, right)
 
 
+def unfolding_rows(edges: DataFrame, n: int, m: int, steps: int, rank: int, targets: bool = False, seed: int = 0) -> DataFrame:
+    """(u, f) or (v, f): leading left singular vectors of an unfolding, from its nonzeros; neither it nor a Gram matrix is built."""
+    if targets:
+        flat = edges.select(F.col("v").alias("u"), (F.col("t").cast("long") * n + F.col("u")).alias("v"), "w")
+        return subspace_svd(flat, m, n * steps, rank, seed=seed)[0].withColumnRenamed("u", "v")
+    flat = edges.select("u", (F.col("t").cast("long") * m + F.col("v")).alias("v"), "w")
+    return subspace_svd(flat, n, m * steps, rank, seed=seed)[0]
+
+
+def _normalised_tables(graph: TemporalGraph, left: DataFrame, right: DataFrame, temporal: np.ndarray, config: CompressionConfig, **diagnostics) -> FactorStore:
+    """:func:`_normalised` for factor tables: norms by one aggregate each."""
+    rank = temporal.shape[1]
+    norms = [np.sqrt(np.maximum(np.diag(gram(left, "u", rank)), 1e-24)), np.sqrt(np.maximum(np.diag(gram(right, "v", rank)), 1e-24)), np.maximum(np.linalg.norm(temporal, axis=0), 1e-12)]
+    values = norms[0] * norms[1] * norms[2]
+    keep = _energy_kept(values, config)
+    left, right = kept(scaled(left, "u", (1 / norms[0]).tolist()), "u", keep), kept(scaled(right, "v", (1 / norms[1]).tolist()), "v", keep)
+    return _store(graph, left, values[keep], right, (temporal / norms[2])[:, keep], config, **diagnostics)
+
+
+def _projected(graph: TemporalGraph, left: DataFrame, right: DataFrame, rank: int) -> np.ndarray:
+    rows = temporal_projection(graph.edges, left, right, graph.n, graph.columns, graph.steps, rank)
+    return np.array([r.f for r in rows.orderBy("t").collect()])  # one short row per step
+
+
+def _dense_enough(graph: TemporalGraph) -> bool:
+    return graph.steps * graph.n * graph.columns <= DRIVER_CELLS
+
+
 def tensor_unfolding_svd(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     _checked(graph)
+    if not _dense_enough(graph):
+        n, m, rank = graph.n, graph.columns, min(config.rank, graph.n, graph.columns)
+        left, right = (unfolding_rows(graph.edges, n, m, graph.steps, rank, side, config.random_seed).checkpoint() for side in (False, True))
+        return _normalised_tables(graph, left, right, _projected(graph, left, right, rank), config)
     tensor = to_tensor(graph.edges, graph.steps, graph.n, graph.columns)
     return _normalised(graph, *_unfolding_factors(tensor, min(config.rank, graph.n, graph.columns)), config)
 
 
+def _cp_tables(graph: TemporalGraph, config: CompressionConfig, tol: float = 1e-8) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Alternating least squares on relations: each factor from one join of the edges with the other two and one sum per row."""
+    n, m, rank, steps = graph.n, graph.columns, min(config.rank, graph.n, graph.columns), graph.steps
+    prepare_checkpoints(graph.spark)
+    left, right = (unfolding_rows(graph.edges, n, m, steps, rank, side, config.random_seed).checkpoint() for side in (False, True))
+    temporal = _projected(graph, left, right, rank)
+    energy = float(graph.edges.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0))).first()[0])
+    ridge = config.tensor_ridge * np.eye(rank)
+
+    def solved(key: str, other: str, table: DataFrame, size: int, against: np.ndarray) -> DataFrame:
+        weights = factor_frame(graph.spark, temporal, "t").select("t", F.col("f").alias("s"))
+        joined = graph.edges.join(F.broadcast(weights), "t").join(table.withColumnRenamed("f", "l"), other)
+        sums = joined.groupBy(F.col(key).cast("long").alias("i")).agg(*[F.sum(F.col("w") * F.get("s", F.lit(j)) * F.get("l", F.lit(j))).alias(f"g{j}") for j in range(rank)])
+        found = turned(sums.select("i", F.array(*[F.col(f"g{j}") for j in range(rank)]).alias("f")), np.linalg.inv(against + ridge))
+        every = graph.spark.range(size).select(F.col("id").alias("i")).join(found, "i", "left")
+        return every.select(F.col("i").cast("int").alias(key), F.coalesce("f", F.array(*[F.lit(0.0)] * rank)).alias("f")).checkpoint()
+
+    last = np.inf
+    for _ in range(config.tensor_iterations):
+        cross = _projected(graph, left, right, rank)
+        both = gram(left, "u", rank) * gram(right, "v", rank)
+        temporal = np.linalg.solve(both + ridge, cross.T).T
+        error = np.sqrt(max(energy - 2 * float((temporal * cross).sum()) + float(((temporal.T @ temporal) * both).sum()), 0.0) / max(energy, 1e-24))
+        if abs(last - error) < tol:
+            break
+        last = error
+        left = solved("u", "v", right, n, (temporal.T @ temporal) * gram(right, "v", rank))
+        right = solved("v", "u", left, m, (temporal.T @ temporal) * gram(left, "u", rank))
+    return left, right, temporal
+
+
 def cp_als(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     _checked(graph)
+    if not _dense_enough(graph):
+        return _normalised_tables(graph, *_cp_tables(graph, config), config)
     tensor = to_tensor(graph.edges, graph.steps, graph.n, graph.columns)
     temporal, left, right = K.cp_als(tensor, config.rank, config.tensor_iterations, config.tensor_ridge, seed=config.random_seed)
     return _normalised(graph, left, right, temporal, config)
@@ -190,10 +265,10 @@ def nmf(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     _checked(graph)
     mean = to_array(mean_snapshot(graph.edges, graph.steps), graph.n, graph.columns)
     w, h = K.nmf(mean + abs(min(float(mean.min(initial=0)), 0.0)), min(config.rank, *mean.shape))
-    temporal = K.project(to_tensor(graph.edges, graph.steps, graph.n, graph.columns), w, h.T) if graph.steps * mean.size <= DRIVER_CELLS else None
-    if temporal is None:
-        return _store(graph, w, np.ones(w.shape[1]), h.T, None, config)
-    return _normalised(graph, w, h.T, temporal, config)
+    if not _dense_enough(graph):
+        left, right = factor_frame(graph.spark, w, "u"), factor_frame(graph.spark, h.T, "v")
+        return _normalised_tables(graph, left, right, _projected(graph, left, right, w.shape[1]), config)
+    return _normalised(graph, w, h.T, K.project(to_tensor(graph.edges, graph.steps, graph.n, graph.columns), w, h.T), config)
 
 
 def tensor_basis(tensor: np.ndarray, rank: int) -> np.ndarray:
@@ -214,8 +289,7 @@ def robust_asym(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     basis, factorise, project the steps, and take as sparse part the residuals
     at or above the threshold.  Then bounds, residual layout and storage gate.
     Graphs of up to ``DRIVER_CELLS`` cells run as arrays on the driver; larger
-    ones as relations, for which the unfolding basis (``tensor_blend``) has to
-    be off.
+    ones as relations, with a fixed rank.
     """
     _checked(graph, square=True, least=2)
     parts = random_halves(graph.steps, config.random_seed if config.asym_split_seed is None else config.asym_split_seed)
@@ -235,7 +309,7 @@ def robust_asym(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
             basis = (1 - beta) * basis + beta * tensor_basis(clean, config.tensor_rank or config.rank)
         left, values, right = K.truncated_svd(basis, rank)
         if config.rank_selection_mode == "ard":
-            keep, ard = K.ard_selection(clean, left, values, right, config.ard_prior_alpha, config.ard_prior_beta, config.ard_max_iterations, config.ard_tolerance, config.ard_min_effective_ratio, config.ard_min_rank, config.ard_noise_floor, config.ard_fail_on_nonconvergence)
+            keep, ard = K.ard_selection(clean, left, right, config.ard_prior_alpha, config.ard_prior_beta, config.ard_max_iterations, config.ard_tolerance, config.ard_min_effective_ratio, config.ard_min_rank, config.ard_noise_floor, config.ard_fail_on_nonconvergence)
             left, values, right = left[:, keep], values[keep], right[:, keep]
         scale = np.where(np.abs(values) > 1e-12, values, 1.0)
         temporal = K.project(clean, left, right) / scale
@@ -282,23 +356,57 @@ def dense_threshold(a: np.ndarray, config: CompressionConfig) -> float:
     return value * config.residual_threshold_scale
 
 
+def _blended(clean: DataFrame, n: int, steps: int, config: CompressionConfig, beta: float) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """The unfolding basis of :func:`tensor_basis` times beta, as tables (i, f) of U and V and numbers c."""
+    rank = min(config.tensor_rank or config.rank, n)
+    u = unfolding_rows(clean, n, n, steps, rank, seed=config.random_seed).withColumnRenamed("u", "i").checkpoint()
+    image = mean_snapshot(clean, steps).join(u.withColumnRenamed("i", "u"), "u").groupBy(F.col("v").alias("i"))
+    image = image.agg(*[F.sum(F.col("w") * F.get("f", F.lit(j))).alias(f"y{j}") for j in range(rank)])
+    image = image.select("i", F.array(*[F.col(f"y{j}") for j in range(rank)]).alias("f")).checkpoint()
+    norms = np.sqrt(np.maximum(np.diag(gram(image, "i", rank)), 0.0))
+    live = norms > 1e-12
+    v = turned(image, np.diag(np.where(live, 1 / np.where(live, norms, 1.0), 0.0)))
+    return u, beta * norms, v  # u' mean v = |mean' u| for v = mean' u / |mean' u|
+
+
+def _moved(new: FactorStore, old: FactorStore) -> float:
+    """Norm of the change of the low-rank part over that of the old one, by Gram matrices."""
+    a, b = new.rank, old.rank
+    side = lambda s, k: getattr(s, k).withColumnRenamed("u" if k == "left" else "v", "i")
+    weights = [np.array([r.f for r in s.temporal.orderBy("t").collect()]) * np.array(s.lambdas) for s in (new, old)]
+
+    def inner(x: FactorStore, y: FactorStore, p: int, q: int, wx: np.ndarray, wy: np.ndarray) -> float:
+        return float(((wx.T @ wy) * cross_gram(side(x, "left"), side(y, "left"), p, q) * cross_gram(side(x, "right"), side(y, "right"), p, q)).sum())
+
+    own, before = inner(new, new, a, a, weights[0], weights[0]), inner(old, old, b, b, weights[1], weights[1])
+    return float(np.sqrt(max(own + before - 2 * inner(new, old, a, b, *weights), 0.0)) / max(np.sqrt(max(before, 0.0)), 1e-12))
+
+
 def _robust_relational(graph: TemporalGraph, config: CompressionConfig, parts: list[int]) -> FactorStore:
-    if config.tensor_blend:
-        raise MemoryError("set tensor_blend to 0 for graphs beyond the driver's cells")
+    prepare_checkpoints(graph.spark)
+    beta = min(max(config.tensor_blend, 0.0), 1.0)
     if config.rank_selection_mode != "fixed":
         raise MemoryError("rank selection needs a graph within the driver's cells")
-    edges, store, threshold = graph.edges, None, None
+    edges, store, threshold, last = graph.edges, None, None, None
     for _ in range(max(1, config.robust_iterations)):
         clean = edges
         if store is not None:
             removed = store.residuals.select("t", "u", "v", (-F.col("value")).alias("w"))
             clean = edges.unionByName(removed).groupBy("t", "u", "v").agg(F.sum("w").alias("w")).checkpoint()
-        left, values, right = subspace_svd(stitch(clean, parts), graph.n, graph.n, config.rank, seed=config.random_seed)
-        store = _store(graph.with_(edges=clean), left, values, right, None, config)
+        stitched, low = stitch(clean, parts), None
+        if beta:
+            stitched = stitched.withColumn("w", F.col("w") * F.lit(1 - beta))
+            low = _blended(clean, graph.n, graph.steps, config, beta)
+        left, values, right = subspace_svd(stitched.checkpoint(), graph.n, graph.n, config.rank, seed=config.random_seed, low=low)
+        store = _store(graph.with_(edges=clean), left.checkpoint(), values, right.checkpoint(), None, config)
         cells = residual_cells(edges, store)
         options = {"mode": config.residual_threshold_mode, "fixed": config.residual_threshold, "q": config.residual_quantile, "multiplier": config.residual_mad_multiplier, "tail_q": config.residual_hybrid_tail_quantile, "tail_ratio": config.residual_hybrid_tail_ratio, "scale": config.residual_threshold_scale}
         threshold = threshold_row(cells, graph.steps * graph.n * graph.n, **options).first()[0]
-        store = store.with_(residuals=kept_residuals(cells, threshold).checkpoint(), diagnostics={"estimated_threshold": threshold})
+        change = None if last is None else _moved(store, last)
+        store = store.with_(residuals=kept_residuals(cells, threshold).checkpoint(), diagnostics={"estimated_threshold": threshold, "change": change})
+        if change is not None and change <= config.robust_convergence_tol:
+            break
+        last = store
     store = with_bound_metadata(prune_like_ard(store, graph, config).with_(residuals=store.residuals), edges, residual_cells(edges, store), config.entrywise_bound_coverage)
     return storage_gate(formatted(store, config.residual_storage_format), edges.where("w <> 0").count(), config.max_sparse_ratio, config.storage_gate_action, config.factor_storage_dtype_bytes)
 
@@ -323,4 +431,4 @@ def compress(name: str, graph: TemporalGraph, config: CompressionConfig | None =
     return COMPRESSORS[name](graph, config)
 
 
-__all__ = ["COMPRESSORS", "CompressionConfig", "available_compressors", "blend", "compress", "config_from"]
+__all__ = ["COMPRESSORS", "CompressionConfig", "available_compressors", "compress", "config_from"]

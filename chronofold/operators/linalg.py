@@ -148,6 +148,11 @@ def subspace_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.linalg.norm(qa @ qa.T - qb @ qb.T) / np.sqrt(2 * r))
 
 
+def uv_gap(left: np.ndarray, right: np.ndarray) -> float:
+    """Norm of the difference of the two factors over the norm of the left one."""
+    return float(np.linalg.norm(left - right) / max(np.linalg.norm(left), 1e-12))
+
+
 def _apply(matrix: DataFrame, vectors: DataFrame, rank: int, rows: int, transpose: bool) -> DataFrame:
     """A x (or A' x) for ``rank`` vectors held as (i, f): a join and one sum."""
     a, b = ("v", "u") if transpose else ("u", "v")
@@ -156,38 +161,72 @@ def _apply(matrix: DataFrame, vectors: DataFrame, rank: int, rows: int, transpos
     return sums.select("i", F.array(*[F.col(f"y{j}") for j in range(rank)]).alias("f"))
 
 
-def subspace_svd(matrix: DataFrame, n: int, m: int, rank: int, iterations: int = 12, seed: int = 0) -> tuple[DataFrame, list[float], DataFrame]:
-    """Leading singular triplets of a large sparse matrix by subspace iteration on relations.
+def cross_gram(first: DataFrame, second: DataFrame, a: int, b: int) -> np.ndarray:
+    """first' second of two factor tables (i, f) of ranks a and b: one join and a x b sums."""
+    both = first.select("i", F.col("f").alias("x")).join(second.select("i", F.col("f").alias("y")), "i")
+    row = both.agg(*[F.coalesce(F.sum(F.get("x", F.lit(p)) * F.get("y", F.lit(q))), F.lit(0.0)).alias(f"g{p}_{q}") for p in range(a) for q in range(b)]).first()
+    return np.array(row, float).reshape(a, b)
 
-    Only rank x rank Gram matrices reach the driver; each half step is one join
-    and one sum over the nonzeros, written by ``checkpoint`` to cut lineage.
-    """
-    spark = matrix.sparkSession
-    r = min(rank, n, m)
-    v = spark.range(m).select(F.col("id").cast("int").alias("i"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1) for j in range(r)]).alias("f"))
 
-    def orthonormal(x: DataFrame) -> DataFrame:
-        g = gram(x, "i", r)
-        values, vectors = np.linalg.eigh(g)
-        turn = vectors / np.sqrt(np.maximum(values, 1e-300))
-        return x.select("i", F.array(*[sum((F.get("f", F.lit(a)) * F.lit(float(turn[a, j])) for a in range(r)), F.lit(0.0)) for j in range(r)]).alias("f"))
+def turned(factor: DataFrame, by: np.ndarray) -> DataFrame:
+    """Factor table (i, f) times a small matrix."""
+    return factor.select("i", F.array(*[sum((F.get("f", F.lit(a)) * F.lit(float(by[a, j])) for a in range(by.shape[0])), F.lit(0.0)) for j in range(by.shape[1])]).alias("f"))
+
 
+def prepare_checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints: the one the session names; a temporary one only where a single machine runs all."""
     if spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronofold-"))
-    u = v
+
+
+def subspace_svd(matrix: DataFrame, n: int, m: int, rank: int, iterations: int = 60, tol: float = 1e-10, seed: int = 0, low: tuple[DataFrame, np.ndarray, DataFrame] | None = None) -> tuple[DataFrame, list[float], DataFrame]:
+    """Leading singular triplets of a large sparse matrix (u, v, w) by subspace iteration on relations.
+
+    ``low`` adds a matrix of low rank, U diag(c) V', given as tables (i, f) of U
+    and V and the numbers c.  Only rank x rank matrices reach the driver; each
+    half step is one join and one sum over the nonzeros, written by
+    ``checkpoint`` to cut lineage.  It ends when the squared singular values move
+    by no more than ``tol`` of the largest.
+    """
+    spark = matrix.sparkSession
+    prepare_checkpoints(spark)
+    r = min(rank, n, m)
+    v = spark.range(m).select(F.col("id").alias("i"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1) for j in range(r)]).alias("f"))
+
+    def apply(x: DataFrame, size: int, transpose: bool) -> DataFrame:
+        y = _apply(matrix, x, r, size, transpose).select(F.col("i").cast("long").alias("i"), "f")
+        if low is None:
+            return y.checkpoint()
+        left, weights, right = (low[2], low[1], low[0]) if transpose else low
+        k = len(weights)
+        added = turned(left, weights[:, None] * cross_gram(right, x, k, r)).select(F.col("i").cast("long").alias("i"), F.col("f").alias("g"))
+        both = y.join(added, "i", "full")
+        part = lambda c, j: F.coalesce(F.get(c, F.lit(j)), F.lit(0.0))
+        return both.select("i", F.array(*[part("f", j) + part("g", j) for j in range(r)]).alias("f")).checkpoint()
+
+    def orthonormal(x: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        values, vectors = np.linalg.eigh(gram(x, "i", r))
+        # Directions of no weight, as in a matrix of smaller rank, become zeros.
+        live = values > 1e-13 * max(values.max(initial=0), 1e-300)
+        return turned(x, vectors * np.where(live, 1 / np.sqrt(np.where(live, values, 1.0)), 0.0)), values
+
+    v, _ = orthonormal(v)
+    last = np.zeros(r)
     for _ in range(iterations):
-        u = orthonormal(_apply(matrix, v, r, m, False)).checkpoint()
-        v = orthonormal(_apply(matrix, u, r, n, True)).checkpoint()
-    image = _apply(matrix, v, r, m, False).checkpoint()
-    g = gram(image, "i", r)
-    values, vectors = np.linalg.eigh(g)
+        u, _ = orthonormal(apply(v, m, False))
+        v, values = orthonormal(apply(u, n, True))
+        if np.abs(values - last).max(initial=0) <= tol * max(values.max(initial=0), 1e-300):
+            break
+        last = values
+    image = apply(v, m, False)
+    values, vectors = np.linalg.eigh(gram(image, "i", r))
     order = np.argsort(-values)
     sigma, turn = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    rotate = lambda x, by: x.select("i", F.array(*[sum((F.get("f", F.lit(a)) * F.lit(float(by[a, j])) for a in range(r)), F.lit(0.0)) for j in range(r)]).alias("f"))
-    left, right = rotate(image, turn / np.maximum(sigma, 1e-300)), rotate(v, turn)
-    pad = lambda x, size, key: spark.range(size).select(F.col("id").cast("int").alias(key)).join(x.withColumnRenamed("i", key), key, "left").select(key, F.coalesce("f", F.array(*[F.lit(0.0)] * r)).alias("f"))
+    live = sigma > 1e-7 * max(sigma.max(initial=0), 1e-300)
+    left, right = turned(image, turn * np.where(live, 1 / np.where(live, sigma, 1.0), 0.0)), turned(v, turn)
+    pad = lambda x, size, key: spark.range(size).select(F.col("id").alias(key)).join(x.withColumnRenamed("i", key), key, "left").select(F.col(key).cast("int").alias(key), F.coalesce("f", F.array(*[F.lit(0.0)] * r)).alias("f"))
     return pad(left, n, "u"), sigma.tolist(), pad(right, m, "v")

@@ -98,18 +98,52 @@ def heldout_split(graph: TemporalGraph, fraction: float, seed: int = 0) -> Tempo
     return graph.with_(edges=cells.where(F.col("__h") >= fraction).drop("__h"), heldout=cells.where(F.col("__h") < fraction).drop("__h"))
 
 
-def negative_samples(graph: TemporalGraph, positives: DataFrame, per_positive: int, seed: int = 0, attempts: int = 4) -> DataFrame:
-    """(qid, t, u, v): for each positive up to ``per_positive`` distinct empty cells of its step.
+#: Cells of a step up to which its empty cells are listed; larger steps are listed too when over half full.
+LISTED_CELLS = 1_000_000
 
-    Cells are drawn with ``attempts`` times as many tries, so a nearly full
-    snapshot yields fewer.
+
+def empty_cells(graph: TemporalGraph, steps: list[int]) -> DataFrame:
+    """(t, u, v) of all cells without a nonzero weight in the given steps, from ranges."""
+    per = graph.n * graph.columns
+    cells = graph.spark.range(per).select(F.floor(F.col("id") / graph.columns).cast("int").alias("u"), F.pmod("id", F.lit(graph.columns)).cast("int").alias("v"))
+    every = cells.select(F.explode(F.array(*[F.lit(t) for t in steps]).cast("array<int>")).alias("t"), "u", "v")
+    return every.join(nonzero(graph.edges), ["t", "u", "v"], "left_anti")
+
+
+def negative_samples(graph: TemporalGraph, positives: DataFrame, per_positive: int, seed: int = 0) -> DataFrame:
+    """(qid, t, u, v): for each positive ``per_positive`` distinct empty cells of its step, or all if there are fewer.
+
+    In small or nearly full steps the empty cells are listed in hash order and
+    each positive takes a run of them from a random place on.  In large sparse
+    steps, where a random cell is empty at least every other time, cells are
+    drawn until far more tries were made than are wanted.
     """
-    drawn = positives.select("qid", "t", F.explode(F.sequence(F.lit(1), F.lit(per_positive * attempts))).alias("k"))
-    draw = lambda salt, size: F.pmod(F.xxhash64(F.col("qid"), F.col("k"), F.lit(seed), F.lit(salt)), F.lit(size)).cast("int")
-    cells = drawn.select("qid", "t", "k", draw(1, graph.n).alias("u"), draw(2, graph.columns).alias("v")).dropDuplicates(["qid", "t", "u", "v"])
-    empty = cells.join(nonzero(graph.edges), ["t", "u", "v"], "left_anti")
-    order = Window.partitionBy("qid").orderBy("k")
-    return empty.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_positive).select("qid", "t", "u", "v")
+    if per_positive < 1:
+        raise ValueError("per_positive must be positive")
+    per = graph.n * graph.columns
+    filled = {r.t: r.n for r in nonzero(graph.edges).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per step
+    listed = [t for t in range(graph.steps) if per <= LISTED_CELLS or 2 * filled.get(t, 0) > per]
+    drawn_from = [t for t in range(graph.steps) if t not in set(listed)]
+    parts = []
+    if listed:
+        order = Window.partitionBy("t").orderBy(F.xxhash64("t", "u", "v", F.lit(seed)), "u", "v")
+        cells = empty_cells(graph, listed).withColumn("place", F.row_number().over(order) - 1)
+        sizes = graph.spark.createDataFrame([(t, per - filled.get(t, 0)) for t in listed], "t int, size long").where("size > 0")
+        asked = positives.select("qid", "t").join(F.broadcast(sizes), "t")  # one row per step
+        start = F.pmod(F.xxhash64("qid", F.lit(seed)), F.col("size"))
+        runs = asked.select("qid", "t", "size", start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_positive).cast("long"), "size") - 1)).alias("k"))
+        picks = runs.select("qid", "t", F.pmod(F.col("start") + F.col("k"), F.col("size")).cast("int").alias("place"))
+        parts.append(picks.join(cells, ["t", "place"]).select("qid", "t", "u", "v"))
+    if drawn_from:
+        tries = 16 * per_positive + 64
+        sparse = positives.select("qid", "t").where(F.col("t").isin(drawn_from))
+        tried = sparse.select("qid", "t", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("k"))
+        draw = lambda salt, size: F.pmod(F.xxhash64(F.col("qid"), F.col("k"), F.lit(seed), F.lit(salt)), F.lit(size)).cast("int")
+        cells = tried.select("qid", "t", "k", draw(1, graph.n).alias("u"), draw(2, graph.columns).alias("v")).groupBy("qid", "t", "u", "v").agg(F.min("k").alias("k"))
+        empty = cells.join(nonzero(graph.edges), ["t", "u", "v"], "left_anti")
+        first = Window.partitionBy("qid").orderBy("k")
+        parts.append(empty.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_positive).select("qid", "t", "u", "v"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def workload(graph: TemporalGraph, kind: str, size: int, seed: int = 0, k: int = 10, window: int = 6) -> DataFrame:

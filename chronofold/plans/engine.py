@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import small
 from ..operators import community as communities
-from ..operators.index import ExactIndex, ProjectionIndex, ranked
+from ..operators.index import ExactIndex, ProjectionIndex, most_of, ranked
 from ..operators.store import FactorStore
 
 RESULT_SCHEMA_VERSION = 1
@@ -47,7 +47,7 @@ class NeighborPlan:
 class QueryEngine:
     """Plans and runs queries; ``raw`` (t, u, v, w) snapshots allow exact fallback on small graphs."""
 
-    RAW_NODES, ANN_K = 512, 64
+    RAW_NODES, INDEX_K = 512, 64
 
     def __init__(self, store: FactorStore, raw: DataFrame | None = None, bound_factor: float = 1.0):
         self.store, self.raw, self.bound_factor = store, raw, bound_factor
@@ -121,7 +121,7 @@ class QueryEngine:
 
         cells = q.crossJoin(small(s.right, s.m, s.rank)).where(F.col("exclude").isNull() | (F.col("v") != F.col("exclude")))
         scored = s.with_residual(cells.withColumn("base", dot(F.col("f"), F.col("q"), rank=s.rank))).withColumn("score", F.col("base") + F.col("residual"))
-        return ranked(scored, "k").select("qid", "rank", "v", "score")
+        return ranked(scored, "k", most=most_of(requests)).select("qid", "rank", "v", "score")
 
     def index(self, mode: str = "exact", **options: Any) -> ExactIndex:
         if mode not in ("exact", "ann"):
@@ -148,7 +148,7 @@ class QueryEngine:
         near = self.index(mode).search(wide.select("qid", "q", F.col("kk").cast("int").alias("k"), "exclude")).select("qid", "v")
         own = q.join(rows, ["t", "u"]).where(F.col("exclude").isNull() | (F.col("v") != F.col("exclude"))).select("qid", "v")
         pool = near.union(own).distinct().join(requests, "qid")
-        return ranked(s.score(pool, True), "k").select("qid", "rank", "v", "score")
+        return ranked(s.score(pool, True), "k", most=most_of(requests)).select("qid", "rank", "v", "score")
 
     def raw_neighbors(self, requests: DataFrame, exclude_self: bool = True) -> DataFrame:
         """Top neighbours of the raw snapshot rows, absent cells as 0."""
@@ -156,7 +156,7 @@ class QueryEngine:
         cells = requests.crossJoin(small(every, self.store.m, 1))
         cells = cells.where(F.col("v") != F.col("u")) if exclude_self else cells
         scored = cells.join(self.raw, ["t", "u", "v"], "left").withColumn("score", F.coalesce("w", F.lit(0.0)))
-        return ranked(scored, "k").select("qid", "rank", "v", "score")
+        return ranked(scored, "k", most=most_of(requests)).select("qid", "rank", "v", "score")
 
     def residual_row_max(self, requests: DataFrame) -> DataFrame:
         """(qid, residual_max): the largest absolute residual in each request's row."""
@@ -165,30 +165,33 @@ class QueryEngine:
         top = self.store.summed_residuals().groupBy("t", "u").agg(F.max(F.abs("value")).alias("m"))
         return requests.join(top, ["t", "u"], "left").select("qid", F.coalesce("m", F.lit(0.0)).alias("residual_max"))
 
-    def neighbors_optimized(self, requests: DataFrame, tolerance: float, exclude_self: bool = True, prefer_index: str | None = "exact", allow_raw: bool = True) -> DataFrame:
+    def neighbors_optimized(self, requests: DataFrame, tolerance: float, exclude_self: bool = True, prefer_index: bool | str | None = True, allow_raw: bool = True) -> DataFrame:
         """(qid, rank, v, score, path, bound, satisfied): access path by tolerance, size and index.
 
         Raw rows win if given and the graph is small.  Otherwise residuals are
         used for the requests whose row has one beyond the tolerance; requests
-        are split by that, so only these meet the residuals.
+        are split by that, so only these meet the residuals.  Requests of up to
+        ``INDEX_K`` neighbours go to an index, the exact one before the projected
+        one, if one has been built (:meth:`index`), or to the named one, which is
+        built; all others, and all with ``prefer_index`` false, are scans.
         """
         if allow_raw and self.raw is not None and self.store.n <= self.RAW_NODES:
             return self.raw_neighbors(requests, exclude_self).select("qid", "rank", "v", "score", F.lit("raw_fallback").alias("path"), F.lit(0.0).alias("bound"), F.lit(True).alias("satisfied"))
         marked = requests.join(self.residual_row_max(requests), "qid")
         with_res, without = marked.where(F.col("residual_max") > tolerance), marked.where(F.col("residual_max") <= tolerance)
+        built = next((m for m in ("exact", "ann") if m in self._indexes), None)
+        mode = prefer_index if isinstance(prefer_index, str) else built if prefer_index else None
+        far_too = mode is None or most_of(requests) > self.INDEX_K
         parts = []
         for rows, residual in ((with_res, True), (without, False)):
-            suffix = "residual" if residual else "factor_only"
-            if prefer_index == "exact":
-                found, path = self.indexed_neighbors(rows, residual, exclude_self), f"indexed_exact_{suffix}"
-            elif prefer_index == "ann":
-                near, far = rows.where(F.col("k") <= self.ANN_K), rows.where(F.col("k") > self.ANN_K)
-                found = self.indexed_neighbors(near, residual, exclude_self, "ann").withColumn("path", F.lit(f"indexed_ann_{suffix}"))
+            found = None
+            if mode is not None:
+                near = self.indexed_neighbors(rows.where(F.col("k") <= self.INDEX_K), residual, exclude_self, mode)
+                found = near.withColumn("path", F.lit(f"indexed_{mode}_{'residual' if residual else 'factor_only'}"))
+            if far_too:
+                far = rows if mode is None else rows.where(F.col("k") > self.INDEX_K)
                 scan = self.top_neighbors(far, residual, exclude_self).withColumn("path", F.lit("factor_residual_scan" if residual else "factor_only_scan"))
-                found, path = found.unionByName(scan), None
-            else:
-                found, path = self.top_neighbors(rows, residual, exclude_self), "factor_residual_scan" if residual else "factor_only_scan"
-            found = found.withColumn("path", F.lit(path)) if path else found
+                found = scan if found is None else found.unionByName(scan)
             bound = F.lit(0.0) if residual else F.col("residual_max")
             parts.append(found.join(rows.select("qid", "residual_max"), "qid").select("qid", "rank", "v", "score", "path", bound.alias("bound"), F.lit(True).alias("satisfied")))
         return parts[0].unionByName(parts[1])
@@ -277,7 +280,7 @@ class QueryEngine:
         """Residual entries beyond each request's threshold, for ``requests`` (qid, t, threshold)."""
         if self.store.residuals is None:
             return requests.select("qid", "t", F.lit(0).alias("u"), F.lit(0).alias("v"), F.lit(0.0).alias("value")).limit(0)
-        found = self.store.residuals.join(F.broadcast(requests) if ExactIndex._few(requests) else requests, "t")
+        found = self.store.residuals.join(F.broadcast(requests) if requests.count() <= 100_000 else requests, "t")
         return found.where(F.abs("value") > F.col("threshold")).select("qid", "t", "u", "v", "value")
 
     def anomaly_detect(self, t: int, threshold: float) -> DataFrame:

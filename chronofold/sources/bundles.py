@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
+import subprocess
 import sys
+from importlib import metadata
 from pathlib import Path
 from typing import Any
 
@@ -77,6 +79,20 @@ def load_config(path: str, overrides: list[str] | None = None) -> dict[str, Any]
     return config
 
 
+def git_state() -> dict[str, Any]:
+    """Commit and whether the working tree is changed; nulls outside a repository or without git."""
+
+    def ask(*words: str) -> str | None:
+        try:
+            run = subprocess.run(["git", *words], capture_output=True, text=True, timeout=10)
+        except (OSError, subprocess.SubprocessError):
+            return None
+        return run.stdout.strip() if run.returncode == 0 else None
+
+    status = ask("status", "--porcelain")
+    return {"commit": ask("rev-parse", "HEAD"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "changed": None if status is None else bool(status)}
+
+
 def write_outputs(folder: str, metrics: dict[str, Any], config: dict[str, Any], title: str = "Experiment") -> None:
     """metrics.json, summary.md, resolved_config.yaml and run_metadata.json of a driver-side report."""
     import yaml
@@ -88,7 +104,13 @@ def write_outputs(folder: str, metrics: dict[str, Any], config: dict[str, Any],
     lines = [f"# {title}", "", "| metric | value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in sorted(metrics.items())]]
     (out / "summary.md").write_text("\n".join(lines) + "\n")
     (out / "resolved_config.yaml").write_text(resolved)
-    meta = {"config_sha256": hashlib.sha256(resolved.encode()).hexdigest(), "command": sys.argv, "platform": platform.platform(), "python": platform.python_version()}
+    packages = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "PyYAML"):
+        try:
+            packages[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            packages[name] = None
+    meta = {"config_sha256": hashlib.sha256(resolved.encode()).hexdigest(), "command": sys.argv, "platform": platform.platform(), "python": platform.python_version(), "packages": packages, "git": git_state()}
     (out / "run_metadata.json").write_text(json.dumps(meta, indent=2))
 
 

@@ -67,6 +67,8 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_plan_paths(store, spark):
     engine = QueryEngine(store)
+    assert engine.top_neighbor_optimized(0, 1, 2, 10.0).path == "factor_only_scan"
+    engine.index("exact")
     assert engine.top_neighbor_optimized(0, 1, 2, 10.0).path == "indexed_exact_factor_only"
     plan = engine.top_neighbor_optimized(0, 1, 2, 5.9)
     assert plan.path == "indexed_exact_residual" and plan.estimated_error_bound == 0.0 and plan.satisfied_error_tolerance
