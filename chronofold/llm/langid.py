@@ -28,6 +28,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 24, 24_000, 256
 LETTERS = 200
 #: Characters parsed side by side; a longer text's pieces are parsed anew from where the one before ends, until both ways meet.
 PIECE = 256
+#: Steps of this that all pieces take together before the rest goes on one by one.
+RESUMED = 24
 #: A text is told from chance if it takes at most CHANCE times the bits of letters at random, and SLACK phrases: a short one tells little.
 CHANCE, SLACK = 1.25, 4
 UNDETERMINED = "und"
@@ -201,9 +203,10 @@ class CrossParser:
     def _parse_on(table: np.ndarray, place: np.ndarray, steps: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Phrases of each piece as parts of their whole texts.
 
-        All pieces are parsed from the start state at once; each is then parsed
+        All pieces are parsed from the start state at once.  Each is then parsed
         anew from the state in which the one before it ends, until it comes to
-        the state it was in before, from where nothing changes.
+        the state it was in before, from where nothing changes: the first
+        ``RESUMED`` steps of all pieces together, the few that go on one by one.
         """
         states, begun = np.empty(steps.shape, np.int32), np.empty(steps.shape, bool)
         state = np.zeros(steps.shape[1], np.int32)
@@ -212,21 +215,40 @@ class CrossParser:
             begun[t] = value >> 30
             states[t] = state = value & (ENDED - 1)
         later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        ends = states[-1].copy()
         entered = np.zeros(steps.shape[1], np.int32)
-        while True:
-            at = later[states[-1, later - 1] != entered[later]]
-            if not len(at):
-                return begun.sum(0)
-            entered[at] = state = states[-1, at - 1]
-            for t, column in enumerate(steps):
-                value = table.take(state + place.take(column[at]))
-                begun[t, at] = value >> 30
-                state = value & (ENDED - 1)
-                apart = states[t, at] != state
-                states[t, at] = state
-                at, state = at[apart], state[apart]
-                if not len(at):
+        at = later[ends[later - 1] != 0]
+        entered[at] = state = ends[at - 1]
+        resumed = min(RESUMED, len(steps))
+        for t in range(resumed):
+            value = table.take(state + place.take(steps[t, at]))
+            begun[t, at] = value >> 30
+            state = value & (ENDED - 1)
+            apart = states[t, at] != state
+            states[t, at] = state
+            at, state = at[apart], state[apart]
+        moves, column_of, goes_on = memoryview(table), memoryview(np.ascontiguousarray(place)), set(later.tolist())
+        waiting = at.tolist()[::-1]  # the next piece last
+        while waiting:
+            piece = waiting.pop()
+            first, now = resumed, int(states[resumed - 1, piece])
+            if states[-1, piece - 1] != entered[piece]:
+                first, now = 0, int(states[-1, piece - 1])
+                entered[piece] = now
+            symbols, old, new, fresh = steps[first:, piece].tolist(), states[first:, piece].tolist(), [], []
+            for symbol, before in zip(symbols, old, strict=True):
+                value = moves[now + column_of[symbol]]
+                now = value & 0x3FFFFFFF
+                new.append(now)
+                fresh.append(value >> 30)
+                if now == before:
                     break
+            states[first : first + len(new), piece] = new
+            begun[first : first + len(new), piece] = fresh
+            after = piece + 1
+            if after in goes_on and states[-1, piece] != entered[after] and not (waiting and waiting[-1] == after):
+                waiting.append(after)
+        return begun.sum(0)
 
     def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Predicted language, score (how far the runner-up's entropy lies above, 0 to 1), and whether it is told from chance."""
