@@ -124,14 +124,28 @@ def prune_like_ard(store: FactorStore, graph: TemporalGraph, config: Compression
     return store.with_(diagnostics={**store.diagnostics, "pruning_history": history}) if history else store
 
 
-def _from_matrix(graph: TemporalGraph, matrix: DataFrame, config: CompressionConfig) -> FactorStore:
-    """SVD of a mean snapshot; optionally residuals strictly above a fixed threshold."""
-    rank = clipped_rank(config.rank_selection_mode, config.rank, graph.n, config.ard_max_rank)
-    if graph.n * graph.columns <= DRIVER_CELLS:
-        left, values, right = K.truncated_svd(to_array(matrix, graph.n, graph.columns), rank)
+def _from_mean(graph: TemporalGraph, config: CompressionConfig, both_ways: bool = False) -> FactorStore:
+    """SVD of the mean snapshot (or its symmetric part); optionally residuals strictly above a fixed threshold.
+
+    Graphs of few cells are read once and projected where they are
+    factorised; of larger ones the driver holds the mean at most.
+    """
+    n, m = graph.n, graph.columns
+    rank = clipped_rank(config.rank_selection_mode, config.rank, n, config.ard_max_rank)
+    temporal = None
+    if _dense_enough(graph):
+        tensor = to_tensor(graph.edges, graph.steps, n, m)
+        mean = tensor.mean(0)
+        left, values, right = K.truncated_svd((mean + mean.T) / 2 if both_ways else mean, rank)
+        temporal = K.project(tensor, left, right) / np.where(np.abs(values) > 1e-12, values, 1.0)
     else:
-        left, values, right = subspace_svd(matrix, graph.n, graph.columns, rank, seed=config.random_seed)
-    store = prune_like_ard(_store(graph, left, values, right, None, config), graph, config)
+        mean = mean_snapshot(graph.edges, graph.steps)
+        mean = symmetric(mean) if both_ways else mean
+        if n * m <= DRIVER_CELLS:
+            left, values, right = K.truncated_svd(to_array(mean, n, m), rank)
+        else:
+            left, values, right = subspace_svd(mean, n, m, rank, seed=config.random_seed)
+    store = prune_like_ard(_store(graph, left, values, right, temporal, config), graph, config)
     if config.residual_threshold is not None:
         store = store.with_(residuals=kept_residuals(residual_cells(graph.edges, store), config.residual_threshold, strict=True))
     return store
@@ -139,12 +153,12 @@ def _from_matrix(graph: TemporalGraph, matrix: DataFrame, config: CompressionCon
 
 def direct_svd(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     _checked(graph)
-    return _from_matrix(graph, mean_snapshot(graph.edges, graph.steps), config)
+    return _from_mean(graph, config)
 
 
 def sym_svd(graph: TemporalGraph, config: CompressionConfig) -> FactorStore:
     _checked(graph, square=True)
-    return _from_matrix(graph, symmetric(mean_snapshot(graph.edges, graph.steps)), config)
+    return _from_mean(graph, config, both_ways=True)
 
 
 def _energy_kept(values: np.ndarray, config: CompressionConfig) -> np.ndarray:

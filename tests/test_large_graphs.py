@@ -20,7 +20,7 @@ def noisy(spark):
     return tensor, graph_of(spark, tensor)
 
 
-@pytest.mark.parametrize("name,options", [("tensor_unfolding_svd", {}), ("cp_als", {"tensor_iterations": 4}), ("robust_asym", {"robust_iterations": 2, "residual_threshold_mode": "quantile"}), ("robust_asym", {"tensor_blend": 0.0, "residual_threshold": 0.2}), ("nmf", {})])
+@pytest.mark.parametrize("name,options", [("direct_svd", {}), ("sym_svd", {}), ("tensor_unfolding_svd", {}), ("cp_als", {"tensor_iterations": 4}), ("robust_asym", {"robust_iterations": 2, "residual_threshold_mode": "quantile"}), ("robust_asym", {"tensor_blend": 0.0, "residual_threshold": 0.2}), ("nmf", {})])
 def test_relations_and_arrays_agree(monkeypatch, noisy, name, options):
     _, graph = noisy
     config = CompressionConfig(rank=3, **options)
