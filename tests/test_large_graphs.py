@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.operators import compress as C
 from chronofold.operators import kernels as K
 from chronofold.operators import linalg, metrics, transforms
 from chronofold.operators.compress import CompressionConfig, compress, config_from
+from chronofold.operators.index import ProjectionIndex
 from chronofold.plans.engine import QueryEngine
 from chronofold.sources import bundles
 
@@ -117,3 +119,20 @@ def test_old_keys_and_metadata(tmp_path):
 
     meta = json.loads((tmp_path / "run_metadata.json").read_text())
     assert meta["packages"]["pyspark"] and {"commit", "branch", "changed"} <= set(meta["git"])
+
+
+def test_projected_candidates_reach_the_exact_neighbours(spark):
+    rng = np.random.default_rng(11)
+    rank, n = 12, 300
+    x = rng.normal(size=(n, rank)) * 0.6 ** np.arange(rank)
+    q = rng.normal(size=(40, rank))
+    vectors = linalg.factor_frame(spark, x, "v")
+    queries = linalg.factor_frame(spark, q, "qid").select("qid", F.col("f").alias("q"), F.lit(None).cast("int").alias("exclude"), F.lit(5).alias("k"))
+    found = {}
+    for r in ProjectionIndex(vectors, rank).search(queries).collect():
+        found.setdefault(r.qid, set()).add(r.v)
+    want = [set(np.argsort(-(x @ y))[:5].tolist()) for y in q]
+    assert np.mean([len(found[i] & w) / 5 for i, w in enumerate(want)]) >= 0.9
+    assert ProjectionIndex(vectors, rank, projection="gaussian").search(queries).count() == 200
+    with pytest.raises(ValueError):
+        ProjectionIndex(vectors, rank, projection="none")
