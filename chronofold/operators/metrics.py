@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .residuals import quantile
+from .quantiles import EXACT_CELLS, quantiles
 from .store import FactorStore, raw_sparse_bytes
 
 
@@ -26,10 +26,20 @@ def relative_frobenius(cells: DataFrame) -> DataFrame:
     return cells.agg(F.sqrt(F.sum(_squared(F.col("e"))) / F.greatest(F.sum(_squared(F.col("x"))), F.lit(1e-12))).alias("relative_frobenius"))
 
 
+def _with_quantiles(cells: DataFrame, sizes: list[Column], wanted: dict[str, tuple[Column, float]], count: int) -> DataFrame:
+    """One row of aggregates and quantiles, in one pass where the cells are few."""
+    if count <= EXACT_CELLS:
+        return cells.agg(*sizes, *[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()])
+    row = cells.agg(*sizes)
+    for name, (c, q) in wanted.items():
+        row = row.crossJoin(quantiles(cells, c, {name: q}, count))  # one row each
+    return row
+
+
 def entrywise_errors(cells: DataFrame, percentiles: Iterable[float] = (50.0, 90.0, 99.0), count: int = 0) -> DataFrame:
-    """One row: largest, mean and percentile absolute errors, from scored cells."""
-    columns = [quantile(F.col("e"), p / 100, count).alias(f"p{p:g}") for p in percentiles]
-    return cells.agg(F.max("e").alias("max_error"), F.avg("e").alias("mean_error"), *columns)
+    """One row: largest, mean and percentile absolute errors, from scored cells; ``count``: how many, if there are many."""
+    sizes = [F.max("e").alias("max_error"), F.avg("e").alias("mean_error")]
+    return _with_quantiles(cells, sizes, {f"p{p:g}": (F.col("e"), p / 100) for p in percentiles}, count)
 
 
 def observed_errors(store: FactorStore, edges: DataFrame, include_residual: bool = False) -> DataFrame:
@@ -38,14 +48,15 @@ def observed_errors(store: FactorStore, edges: DataFrame, include_residual: bool
     return store.score(edges, include_residual).agg(F.count(F.lit(1)).alias("edges"), F.sqrt(F.avg(_squared(d))).alias("rmse"), F.avg(F.abs(d)).alias("mae"))
 
 
-def bound_report(cells: DataFrame, slack: float = 1e-12) -> DataFrame:
+def bound_report(cells: DataFrame, slack: float = 1e-12, count: int = 0) -> DataFrame:
     """One row over cells with ``e`` and ``bound``: coverage, violations, and sizes and ratios of bounds and errors."""
     b, e = F.col("bound"), F.col("e")
     ok = e <= b + slack
-    return cells.agg(
+    sizes = [
         F.avg(ok.cast("double")).alias("coverage"), F.sum((~ok).cast("long")).alias("violations"), F.count(F.lit(1)).alias("cells"), F.max(F.greatest(e - b, F.lit(0.0))).alias("max_violation"),
-        F.avg(b).alias("mean_bound"), F.max(b).alias("max_bound"), F.median(b).alias("median_bound"), F.avg(e).alias("mean_error"), F.max(e).alias("max_error"), F.median(e).alias("median_error"),
-    )
+        F.avg(b).alias("mean_bound"), F.max(b).alias("max_bound"), F.avg(e).alias("mean_error"), F.max(e).alias("max_error"),
+    ]
+    return _with_quantiles(cells, sizes, {"median_bound": (b, 0.5), "median_error": (e, 0.5)}, count)
 
 
 def bound_tightness(cells: DataFrame) -> DataFrame:

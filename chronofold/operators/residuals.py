@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .store import CSR_BYTES, POINTER_BYTES, FactorStore, choose_format, node_degrees
 
-#: Cells up to which quantiles are exact; beyond, Greenwald-Khanna sketches of this accuracy stand in.
-EXACT_CELLS, ACCURACY = 5_000_000, 100_000
-
 
 def residual_cells(edges: DataFrame, store: FactorStore) -> DataFrame:
     """(t, u, v, w, e) over all cells: weight and residual of the factor score."""
@@ -17,10 +15,6 @@ def residual_cells(edges: DataFrame, store: FactorStore) -> DataFrame:
     return store.with_base(cells, "base").select("t", "u", "v", "w", (F.col("w") - F.col("base")).alias("e"))
 
 
-def quantile(column, q: float, cells: int):
-    return F.percentile(column, F.lit(q)) if cells <= EXACT_CELLS else F.percentile_approx(column, q, ACCURACY)
-
-
 def threshold_row(cells: DataFrame, count: int, mode: str = "mad", fixed: float | None = None, q: float = 0.98, multiplier: float = 45.0, tail_q: float = 0.95, tail_ratio: float = 2.0, scale: float = 1.0) -> DataFrame:
     """One row ``threshold`` over the absolute residuals ``e`` of all ``count`` cells.
 
@@ -34,10 +28,10 @@ def threshold_row(cells: DataFrame, count: int, mode: str = "mad", fixed: float
     if mode not in ("quantile", "mad", "hybrid"):
         raise ValueError("residual_threshold_mode is quantile, mad or hybrid")
     a = cells.select(F.abs("e").alias("a"))
-    base = a.agg(quantile(F.col("a"), q, count).alias("q"), quantile(F.col("a"), tail_q, count).alias("tail"), quantile(F.col("a"), 0.5, count).alias("mid"), F.max("a").alias("top"))
     if mode == "quantile":
-        return base.select((F.col("q") * scale).alias("threshold"))
-    spread = a.crossJoin(F.broadcast(base)).groupBy("q", "tail", "mid", "top").agg(quantile(F.abs(F.col("a") - F.col("mid")), 0.5, count).alias("mad"))  # one row joins
+        return quantiles(a, F.col("a"), {"q": q}, count).select((F.col("q") * scale).alias("threshold"))
+    base = F.broadcast(quantiles(a, F.col("a"), {"q": q, "tail": tail_q, "mid": 0.5, "top": 1.0}, count))  # one row
+    spread = quantiles(a.crossJoin(base), F.abs(F.col("a") - F.col("mid")), {"mad": 0.5}, count, ["q", "tail", "mid", "top"])
     sigma = F.col("mad") * 1.4826
     by_mad = F.when(sigma <= 1e-12, F.col("top") + 1).otherwise(F.col("mid") + multiplier * sigma)
     if mode == "hybrid":
@@ -53,9 +47,9 @@ def kept_residuals(cells: DataFrame, threshold: float, strict: bool = False) ->
 
 def centred_sigma(cells: DataFrame, count: int) -> DataFrame:
     """One row ``sigma``: the largest over steps of the MAD of the residuals, over 0.6745."""
-    mid = cells.groupBy("t").agg(quantile(F.col("e"), 0.5, count).alias("mid"))
-    spread = cells.join(F.broadcast(mid), "t").groupBy("t").agg((quantile(F.abs(F.col("e") - F.col("mid")), 0.5, count) / 0.6745).alias("s"))
-    return spread.agg(F.max("s").alias("sigma"))
+    mid = F.broadcast(quantiles(cells, F.col("e"), {"mid": 0.5}, count, ["t"]))
+    spread = quantiles(cells.join(mid, "t"), F.abs(F.col("e") - F.col("mid")), {"s": 0.5}, count, ["t"])
+    return spread.agg((F.max("s") / 0.6745).alias("sigma"))
 
 
 def with_bound_metadata(store: FactorStore, edges: DataFrame, cells: DataFrame, coverage: float = 1.0) -> FactorStore:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import calibrated_bound, dot, small
 from ..graph import guard_dense
+from .quantiles import quantiles
 
 SCHEMA_VERSION = 1
 #: Fixed sizes of the byte accounting: a COO entry, a CSR entry, a CSR row pointer.
@@ -140,7 +141,8 @@ class FactorStore:
         if self.n != self.m:
             raise ValueError("bounds need a square graph")
         scored = self.score(self.cells().join(edges, ["t", "u", "v"], "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
-        sigma = scored.groupBy("t").agg((F.median(F.abs(F.col("w") - F.col("score"))) / 0.6745).alias("s")).agg(F.max("s")).first()[0]
+        spread = quantiles(scored, F.abs(F.col("w") - F.col("score")), {"s": 0.5}, self.steps * self.n * self.m, ["t"])
+        sigma = spread.agg(F.max("s") / 0.6745).first()[0]
         return self.with_(node_bounds=node_degrees(edges, self.n, self.steps, absolute=False), bound_sigma_max=float(sigma), bound_constant=constant)
 
     @property
