@@ -64,7 +64,7 @@ def training_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE
 
 
 def _letters() -> np.ndarray:
-    kept = process_cache("letters")
+    kept = process_cache("cross parsing", "letters")
     if "table" not in kept:
         kept["table"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return kept["table"]
@@ -281,7 +281,7 @@ def _judge(texts: dict[str, str], size: int = 1_000_000):
     """(batch, names, scores, told) of batches with a column ``text``."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        kept = process_cache("cross parsers")
+        kept = process_cache("cross parsing", "parsers")
         key = hash(tuple(texts.items()))
         if key not in kept:
             kept.clear()

@@ -7,10 +7,17 @@ import sys
 import types
 
 
-def process_cache(name: str) -> dict:
-    """A dict that outlives the task: kernels are pickled by value, so their module globals do not."""
+def process_cache(owner: str, name: str = "") -> dict:
+    """A dict that outlives the task: kernels are pickled by value, so their module globals do not.
+
+    Workers live on from one operator to the next, so what one ``owner`` keeps (automata, encoders, indexes) goes as
+    soon as another asks for a dict of its own.
+    """
     holder = sys.modules.setdefault("_chronofold_process", types.ModuleType("_chronofold_process"))
-    return holder.__dict__.setdefault("caches", {}).setdefault(name, {})
+    caches = holder.__dict__.setdefault("caches", {})
+    if owner not in caches:
+        caches.clear()
+    return caches.setdefault(owner, {}).setdefault(name, {})
 
 
 def tidy(kernel):
