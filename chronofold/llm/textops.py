@@ -92,7 +92,7 @@ def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1
 
 def base_powers(n: int, inverse: bool = False) -> np.ndarray:
     """Powers of the hash base (or of its inverse), kept by the process."""
-    kept = process_cache("hash powers")
+    kept = process_cache(None, "hash powers")
     if len(kept.get(inverse, ())) < n:
         kept[inverse] = powers(_INVERSE if inverse else _BASE, max(n, 1 << 16))
     return kept[inverse][:n]

@@ -7,6 +7,7 @@ readers split files at stripes and skip stripes and row groups by metadata.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -38,6 +39,38 @@ def _odd_spaces(raw: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray
     return odd | ((b1 == 0xE3) & (b2 == 0x80) & (b3 == 0x80))
 
 
+_ALPHA, _OTHER, _MARK, _BREAK, _SEEN = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+for _b in range(128):
+    _c = chr(_b)
+    _KIND[_b] = _ALPHA if _c.isalpha() else _OTHER if _c != " " else 0
+    _KIND[_b] |= (_MARK if 33 <= _b <= 126 and not _c.isalnum() and _c != "'" else 0) | (_BREAK if _c in "\t\n\r" else 0) | (_SEEN if 33 <= _b <= 126 else 0)
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """What each byte is: of a letter (ASCII or Latin-1), other ASCII, a mark (no apostrophe), a line break or tab, not white space."""
+    kind = _KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # the signs for times and divided by
+    kind[lead] = kind[lead + 1] = _ALPHA | _SEEN
+    return kind
+
+
+def _word_edges(kind: np.ndarray) -> np.ndarray:
+    """Where the pattern of byte-level tokenizers starts anew in any text (True at the first byte after such a place).
+
+    A letter ends its word before other ASCII; a word starts after a mark, as
+    marks take no letters (an apostrophe can), and after a single break: of more
+    the last stands alone, which a piece that ends there would not show.
+    """
+    edge = np.zeros(len(kind), bool)
+    before, after = kind[:-1], kind[1:]
+    edge[1:] = ((before & _ALPHA) != 0) & ((after & _OTHER) != 0)
+    edge[1:] |= ((before & _MARK) != 0) & ((after & _ALPHA) != 0)
+    edge[2:] |= ((kind[:-2] & _SEEN) != 0) & ((before[1:] & _BREAK) != 0) & ((after[1:] & _ALPHA) != 0)
+    return edge
+
+
 def spans_of(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Positions begin[0], begin[0]+1, ... of all spans one after another."""
     ends = np.cumsum(length)
@@ -49,7 +82,9 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer always starts a new word at a space that
     stands alone before a non-space, so the ids of a text are the ids of its
-    pieces cut there; texts with other spaces, or with the string of an added
+    pieces cut there; where the file names the usual byte-level pattern, pieces
+    are cut at the edges of words as well (see :func:`_word_edges`), so that a
+    word is learnt once, whatever mark follows it.  Texts with other spaces, or with the string of an added
     token of the file, are encoded whole, as the library does.  Pieces are
     known by a 64-bit hash of their bytes in an open-addressing table.  New
     pieces are encoded joined, some thousands at a time; the byte lengths of
@@ -66,7 +101,10 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.joined = 1 if any(b" " in a for a in self.added) else self.JOINED  # joined pieces must not form one
+        self.joined = 1 if any(b" " in a or b"\n" in a for a in self.added) else self.JOINED  # joined pieces must not form one
+        rules = json.loads(self.tokenizer.to_str())
+        cut = rules["pre_tokenizer"] or {}
+        self.words = rules["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) is True and not cut.get("add_prefix_space")
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for word, i in vocabulary.items():
@@ -105,19 +143,29 @@ class PieceEncoder:
             left, slot = left[~put], np.where(free & ~first, slot, (slot + 1) & (self.SLOTS - 1))[~put]
         self.known += len(hashes)
 
-    def _learn(self, raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+    def _learn(self, raw: np.ndarray, kind: np.ndarray, hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
         spaced = raw[begin] == 32
-        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
-        hashes, begin, length = hashes[order], begin[order], length[order]
-        n_spaced = int(spaced.sum())
-        groups = [(i, min(i + self.joined, n_spaced)) for i in range(0, n_spaced, self.joined)] + [(i, i + 1) for i in range(n_spaced, len(begin))]
-        texts = [raw[spans_of(begin[a:b], length[a:b])].tobytes().decode() for a, b in groups]
+        word = np.zeros(len(begin), bool)
+        if self.words and self.joined > 1:  # joined by line breaks, whose ids are dropped
+            word = ((kind[begin] & _ALPHA) != 0) & ((kind[begin + length - 1] & _ALPHA) != 0)
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(word), np.flatnonzero(~spaced & ~word)])
+        hashes, begin, length, tail = hashes[order], begin[order], length[order], word[order].astype(np.int64)
+        n_spaced, n_joined = int(spaced.sum()), int((spaced | word).sum())
+        groups = [(i, min(i + self.joined, end)) for first, end in ((0, n_spaced), (n_spaced, n_joined)) for i in range(first, end, self.joined)]
+        groups += [(i, i + 1) for i in range(n_joined, len(begin))]
+        ends = np.cumsum(length + tail)
+        written = np.full(int(ends[-1]), 10, np.uint8)
+        written[spans_of(ends - length - tail, length)] = raw[spans_of(begin, length)]
+        bounds = np.concatenate([[0], ends])
+        texts = [written[bounds[a] : bounds[b]].tobytes().decode() for a, b in groups]
         found = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(found)
-        done, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(length)
+        done = np.cumsum(self.bytes_of[ids])
         at = np.searchsorted(done, ends)
-        if not np.array_equal(done[np.minimum(at, len(done) - 1)], ends):
+        breaks = at[tail == 1]
+        if not np.array_equal(done[np.minimum(at, len(done) - 1)], ends) or (self.bytes_of[ids[breaks]] != 1).any():
             raise ValueError("the tokenizer does not cut at single spaces")
+        ids, at = np.delete(ids, breaks), at - np.cumsum(tail)
         used = int(self.starts[self.known])
         while self.known + len(begin) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
@@ -147,7 +195,8 @@ class PieceEncoder:
         if not len(filled):
             return np.zeros(0, np.int32), counts
         space = raw == 32
-        edge = space.copy()
+        kind = _kinds(raw)
+        edge = space | _word_edges(kind) if self.words else space.copy()
         edge[starts[filled]] = True
         begin = np.flatnonzero(edge)
         owner = np.searchsorted(starts[filled], begin, "right") - 1
@@ -168,10 +217,10 @@ class PieceEncoder:
         number = self._find(hashes)
         fresh = np.flatnonzero(number < 0)
         if len(fresh):
-            fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]
-            for i in range(0, len(fresh), REMEMBERED):
-                self._learn(raw, hashes[f := fresh[i : i + REMEMBERED]], begin[f], stop[f] - begin[f])
-            number = self._find(hashes)
+            new = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+            for i in range(0, len(new), REMEMBERED):
+                self._learn(raw, kind, hashes[f := new[i : i + REMEMBERED]], begin[f], stop[f] - begin[f])
+            number[fresh] = self._find(hashes[fresh])
         n = self.starts[number + 1] - self.starts[number]
         flat = self.flat[spans_of(self.starts[number], n)]
         counts[filled] = np.bincount(owner, n, len(filled)).astype(np.int64)

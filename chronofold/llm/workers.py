@@ -7,15 +7,16 @@ import sys
 import types
 
 
-def process_cache(owner: str, name: str = "") -> dict:
+def process_cache(owner: str | None, name: str = "") -> dict:
     """A dict that outlives the task: kernels are pickled by value, so their module globals do not.
 
     Workers live on from one operator to the next, so what one ``owner`` keeps (automata, encoders, indexes) goes as
-    soon as another asks for a dict of its own.
+    soon as another asks for a dict of its own.  What several operators use side by side with their own has no owner:
+    asking for it drops nothing, and it goes with the rest.
     """
     holder = sys.modules.setdefault("_chronofold_process", types.ModuleType("_chronofold_process"))
     caches = holder.__dict__.setdefault("caches", {})
-    if owner not in caches:
+    if owner is not None and owner not in caches:
         caches.clear()
     return caches.setdefault(owner, {}).setdefault(name, {})
 
