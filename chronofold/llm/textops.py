@@ -90,9 +90,12 @@ def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1
     return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), counts
 
 
-def base_powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers of the hash base (or of its inverse), kept by the process."""
-    kept = process_cache(None, "hash powers")
+def base_powers(n: int, inverse: bool = False, owner: str = "hash powers") -> np.ndarray:
+    """Powers of the hash base (or of its inverse), kept by the process.
+
+    An operator that keeps more between tasks names itself as the ``owner``: its other things would go else.
+    """
+    kept = process_cache(owner, "hash powers")
     if len(kept.get(inverse, ())) < n:
         kept[inverse] = powers(_INVERSE if inverse else _BASE, max(n, 1 << 16))
     return kept[inverse][:n]

@@ -22,6 +22,8 @@ from .textops import base_powers, mix, utf8_parts
 from .workers import process_cache, tidy
 
 STORED = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
+#: Under this name a worker keeps encoders and hash powers.
+OWNER = "piece encoders"
 #: Pieces of text whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 600_000
 _RNG = np.random.default_rng(7)
@@ -209,8 +211,8 @@ class PieceEncoder:
         odd = np.unique(np.concatenate([owner[at[_odd_spaces(raw, begin[at], last[at] - 1)]], special[special >= 0]]))
         total = np.empty(len(raw) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE[raw] * base_powers(len(raw)), out=total[1:])
-        hashes = mix(((total[stop] - total[begin]) * base_powers(len(raw), inverse=True)[begin]) ^ ((stop - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        np.cumsum(_BYTE[raw] * base_powers(len(raw), owner=OWNER), out=total[1:])
+        hashes = mix(((total[stop] - total[begin]) * base_powers(len(raw), inverse=True, owner=OWNER)[begin]) ^ ((stop - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
         if len(odd):
             plain = ~np.isin(owner, odd)
             begin, stop, owner, hashes = begin[plain], stop[plain], owner[plain], hashes[plain]
@@ -245,7 +247,7 @@ def _encode(path: str | None, end_id: int, batch_bytes: int = 1_000_000):
             import public_tokenizers
 
             file = public_tokenizers.path("byte_bpe_50k.json")
-        cache = process_cache("piece encoders")
+        cache = process_cache(OWNER)
         if file not in cache:
             cache[file] = PieceEncoder(file)
         encoder, part, at = cache[file], TaskContext.get().partitionId(), 0

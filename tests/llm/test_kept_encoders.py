@@ -1,4 +1,4 @@
-"""Workers keep an operator's encoders and indexes from task to task, whatever shared tables it uses besides."""
+"""Workers keep an operator's encoders from task to task, with the hash powers that it uses besides, and nothing of another."""
 
 import sys
 
@@ -9,14 +9,14 @@ from chronofold.llm.textops import base_powers
 from chronofold.llm.workers import process_cache
 
 
-def test_shared_powers_drop_no_encoder_and_go_with_the_next_operator():
+def test_powers_of_an_operator_stay_and_go_with_its_encoders():
     sys.modules.pop("_chronofold_process", None)
-    process_cache("piece encoders")["file"] = "encoder"
-    first = base_powers(10)
-    assert process_cache("piece encoders") == {"file": "encoder"}
-    assert base_powers(10).base is first.base
-    assert process_cache("another") == {} == process_cache(None, "hash powers")
-    assert process_cache("piece encoders") == {}
+    process_cache("a")["file"] = "encoder"
+    first = base_powers(10, owner="a")
+    assert process_cache("a") == {"file": "encoder"}
+    assert base_powers(10, owner="a").base is first.base
+    assert len(base_powers(10)) == 10  # of an operator that keeps nothing else
+    assert process_cache("a") == {} == process_cache("a", "hash powers")
 
 
 def test_a_worker_loads_the_tokenizer_once(spark):
