@@ -347,10 +347,10 @@ class JaccardJoin:
         if not 0 < percent <= 100:
             raise ValueError("percent must be between 1 and 100")
         self.spark, self.percent = docs.sparkSession, percent
-        self.work = Workspace(self.spark, "jaccard")
+        self.work = Workspace(self.spark, "jaccard", by_workers=True)
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), row_key(docs).alias("key"))
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.work.table(self.docs.mapInArrow(tidy(_first_rows), "kind byte, a long, n long, b long, key long"), "first")
+        rows = self.work.table(self.docs, "first", _first_rows, "kind byte, a long, n long, b long, key long")
         self.members = rows.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("class"), "key")
         filled = self.members.where("n > 0")
         self.heavy = self.work.table(heavy_keys(filled, ["class"]), "heavy")
@@ -371,7 +371,7 @@ class JaccardJoin:
         weight = 1 + np.floor(np.log2(np.maximum(counts_of, 1) / max(1, counts_of.min(initial=1 << 62)))).astype(np.int64) if len(word) else np.zeros(0, np.int64)
         shared = self.spark.sparkContext.broadcast((tokens[order], rank[order], word[by], weight[by]))
         self.large = self.spark.sparkContext.broadcast(common.token[common.n > LARGE].to_numpy(np.int64))
-        self.prefixes = self.work.table(self.docs.mapInArrow(tidy(_prefixes(shared, percent)), "class long, n long, lead array<long>, prefix array<long>, map binary"), "prefixes")
+        self.prefixes = self.work.table(self.docs, "prefixes", _prefixes(shared, percent), "class long, n long, lead array<long>, prefix array<long>, map binary")
         self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
 
@@ -430,9 +430,7 @@ class JaccardJoin:
         wanted = self.work.table(rows.select("class").distinct(), f"mapped{int(spanning)}")
         maps = self.prefixes.select("class", "n", "map").join(self._small(wanted), "class", "left_semi")
         maps = maps.groupBy("class").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-        if not spanning:
-            maps = maps.mapInArrow(_halved, "class long, n long, map binary")
-        maps = self.work.table(maps, f"maps{int(spanning)}")
+        maps = self.work.table(maps, f"maps{int(spanning)}", *(() if spanning else (_halved, "class long, n long, map binary")))
         return dealt.join(maps, "class")
 
     def _pairs(self, members: DataFrame, spanning: bool, name: str) -> DataFrame:
@@ -448,7 +446,7 @@ class JaccardJoin:
         wanted = self.work.table(places.select("class").distinct().join(self.classes, "class").select("key"), f"{name}_wanted")
         sets = self.docs.join(self._small(wanted), "key", "left_semi").select("text").mapInArrow(tidy(_sets), "class long, tokens binary")
         dealt = sets.join(self._small(places), "class").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
-        return self.work.table(dealt.mapInArrow(_verify(self.percent), "a long, b long"), name)
+        return self.work.table(dealt, name, _verify(self.percent), "a long, b long")
 
     def _with_component(self, members: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -469,11 +467,11 @@ class JaccardJoin:
         entries = self.prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
         buckets = max(self.parts, math.ceil(entries / BUCKET))
         packed = self.prefixes.select("class", "prefix").mapInArrow(tidy(_pack(buckets, self.large)), "bucket int, entries binary")
-        met = packed.repartitionById(buckets, "bucket").mapInArrow(tidy(_meet), "token long, class long, times long")
+        met = self.work.table(packed.repartitionById(buckets, "bucket"), "met", _meet, "token long, class long, times long")
         if len(self.large.value):
             often = self.spark.createDataFrame([(int(t),) for t in self.large.value], "token long")  # at most COMMON rows
             met = met.union(self.prefixes.select(F.explode("prefix").alias("token"), "class").join(F.broadcast(often), "token", "left_semi").distinct().withColumn("times", F.lit(1).cast("long")))
-        members = self.work.table(self._with_component(self.work.table(met, "met")), "members")
+        members = self.work.table(self._with_component(met), "members")
         pairs = self._pairs(self._gathered(members), False, "pairs2")
         if not pairs.isEmpty():
             self.links = self.links.union(self._verified(pairs, "links2"))
