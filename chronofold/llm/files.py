@@ -35,7 +35,7 @@ def filed(kernel, folder: str, schema: pa.Schema):
 
         def flush() -> None:
             nonlocal out
-            out = out or pq.ParquetWriter(f"{folder}/{name}", schema, filesystem=pafs.LocalFileSystem())
+            out = out or pq.ParquetWriter(f"{folder}/{name}", schema, filesystem=pafs.LocalFileSystem(), compression="zstd", compression_level=1)
             out.write_table(pa.Table.from_batches(held))
             held.clear()
 
